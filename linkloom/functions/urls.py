@@ -148,7 +148,19 @@ def with_resolved(
             f"{out}_canon": _joined(s, bare, slash, q, F.lit("")),
         }
     )
-    return df.drop("_r", "_opaque", "_s", "_a", "_q", "_f", "_merged", "_p")
+    df = df.drop("_r", "_opaque", "_s", "_a", "_q", "_f", "_merged", "_p")
+    return pinned(df, out, f"{out}_canon", f"{out}_path", f"{out}_absolute")
+
+
+def pinned(df: DataFrame, *names: str) -> DataFrame:
+    """Compute ``names`` once, below every later filter.
+
+    Filters are otherwise pushed through the projections, and each push copies the
+    expressions behind the column: a chain of them grows exponentially. A predicate
+    on generator output stays above the generator.
+    """
+    kept = [F.col(c) for c in df.columns if c not in names]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*names))))
 
 
 def with_canonical(df: DataFrame, url: str, out: str = "canonical") -> DataFrame:
