@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -15,7 +15,9 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,6 +34,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Compute a frame once and keep it in the shared folder, where losing an executor loses nothing."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, empty location under the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/linkloom/{name}-{uuid.uuid4().hex}"
