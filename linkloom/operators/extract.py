@@ -116,15 +116,16 @@ def scan(
 def resolve(tokens: DataFrame) -> DataFrame:
     """Resolve quoted tokens and tag attributes against their page.
 
-    Adds ``element`` and the ``resolved`` columns. A tag link that is only a
+    Adds ``element``, ``has_link`` (the tag carries its link attribute) and the
+    ``resolved`` columns. A tag link that is only a
     fragment, or that cannot be parsed, stands for the seed and stays NULL.
     """
     is_tag, is_quoted = F.col("scan") == "tag", F.col("scan") == "quoted"
     token, element = F.col("token"), F.col("element")
     df = tokens.withColumn("element", F.when(is_tag, html.tag_name(token)))
-    value = F.when(element.isin("a", "link"), html.attribute(token, "href")).when(
-        element == "script", html.attribute(token, "src")
-    )
+    has_href = element.isin("a", "link") & html.has_attribute(token, "href")
+    has_src = (element == "script") & html.has_attribute(token, "src")
+    value = F.when(has_href, html.attribute(token, "href")).when(has_src, html.attribute(token, "src"))
     df = df.withColumn("_value", value)
     reference = F.when(is_quoted, token).when(~F.col("_value").startswith("#"), html.browser_reference(F.col("_value")))
     df = df.withColumn("_ref", reference)
@@ -132,7 +133,7 @@ def resolve(tokens: DataFrame) -> DataFrame:
         df = df.withColumn("base", F.when(is_tag, F.col("tag_base")).otherwise(F.col("base"))).drop("tag_base")
     has_scheme = F.col("_ref").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+://[^/?#]")
     df = urls.with_resolved(df, "base", "_ref", keep_dots=is_quoted & has_scheme)
-    return df.drop("base", "_value", "_ref")
+    return df.withColumn("has_link", F.col("_value").isNotNull()).drop("base", "_value", "_ref")
 
 
 def classify(rows: DataFrame, scripts: bool = False) -> DataFrame:
@@ -162,12 +163,12 @@ def classify(rows: DataFrame, scripts: bool = False) -> DataFrame:
         .when(scan_ == "bucket", "aws")
         .when((scan_ == "quoted") & (F.col("link").isNull() | text.is_noise(token)), None)
         .when(scan_ == "quoted", F.when(scanned, "javascript").otherwise("linkfinder"))
-        .when(element.isin("a", "link"), F.when(html.has_attribute(token, "href"), "href"))
+        .when(element.isin("a", "link"), F.when(F.col("has_link"), "href"))
         .when(element == "form", F.when(html.has_attribute(token, "action"), "form"))
         .when(element == "input", F.when(html.attribute(token, "type") == "file", "upload-form"))
         .when(
             element == "script",
-            F.when(html.has_attribute(token, "src") & F.col("_ext").isin(patterns.SCRIPT_TAG_EXTENSIONS), "javascript"),
+            F.when(F.col("has_link") & F.col("_ext").isin(patterns.SCRIPT_TAG_EXTENSIONS), "javascript"),
         )
     )
     df = df.withColumn("kind", kind)
@@ -183,13 +184,13 @@ def classify(rows: DataFrame, scripts: bool = False) -> DataFrame:
             .when(quoted, F.col("url"))
             .otherwise("body"),
             "set_name": F.when(is_asset, "js")
-            .when(F.col("kind").isin("href", "linkfinder"), "url")
+            .when(F.col("kind").isin("href", "linkfinder"), "link")
             .otherwise(F.col("kind")),
             "phase": F.when(scan_ == "tag", TAG_PHASE).otherwise(TEXT_PHASE),
         }
     )
     named = ["kind", "type", "source", "set_name", "phase", "link", "canon"]
-    df = urls.pinned(df.drop("_ext", "resolved", "resolved_canon", "resolved_path"), *named)
+    df = urls.pinned(df.drop("_ext", "resolved", "resolved_canon", "resolved_path", "has_link"), *named)
     return df.where("kind is not null")
 
 

@@ -54,7 +54,7 @@ def raw_findings(
     tokens = tokens.where(F.col("_counted") | (F.col("scan") != "response"))
     rows = classify(resolve(tokens), scripts)
     rows = rows.withColumn("in_scope", in_scope(F.col("link")) if scope is None else scope)
-    gated = F.col("set_name").isin("url", "js") & (F.col("type") != "javascript")
+    gated = F.col("set_name").isin("link", "js") & (F.col("type") != "javascript")
     rows = rows.where(~gated | F.col("in_scope"))
     kind, token = F.col("kind"), F.col("token")
     domain = F.concat(F.lit(patterns.DNS_LABELS), F.replace(F.col("domain"), F.lit("."), F.lit("[.]")))

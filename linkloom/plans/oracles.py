@@ -182,7 +182,6 @@ BASE = f"WITH p AS ({PAGES}), rich AS ({RICH}), meta AS ({META}), seeds AS ({HOS
 BASE_LINKS = BASE + "," + _links()
 PLAIN_LINKS = BASE + "," + _links("p")
 TARGETS = "tgt AS (SELECT seed_id, CASE WHEN seed_id % 2 = 0 THEN host ELSE seed_url END AS raw, host, apex, seed_url FROM seeds)"
-SETS = "CASE set_name WHEN 'link' THEN 'url' ELSE set_name END"
 LISTING = """last AS (SELECT apex, max(page_id // 20) AS last FROM p GROUP BY apex),
  pagedp AS (SELECT p.apex AS domain, CAST(page_id // 20 AS INT) AS page, url FROM p JOIN last USING (apex) WHERE page_id // 20 < 10)"""
 ARCHIVE = f"""{BASE}, {LISTING}, arch AS (SELECT DISTINCT a.seed_id, u.url FROM apexes a JOIN (
@@ -286,7 +285,7 @@ ORACLES = {
     "url_findings": f"""{BASE} SELECT s.seed_id, page_id, url AS output, status, CAST(CASE WHEN strlen(html) <= 4194304 THEN strlen({_decode('html')}) ELSE strlen(html) END AS INT) AS length
       FROM meta JOIN seeds s USING (host) WHERE status IN (200, 403)""",
     "link_edges": f"{BASE_LINKS} SELECT page_id, url AS src, canon AS dst, kind, phase FROM links",
-    "seen_dedup": f"{FOUND} SELECT seed_id, CASE kind WHEN 'form' THEN 'form' WHEN 'upload-form' THEN 'upload-form' ELSE {SETS} END AS set_name, key, kind, page_id FROM found WHERE kind NOT IN ('url', 'subdomains', 'aws')",
+    "seen_dedup": f"{FOUND} SELECT seed_id, CASE kind WHEN 'form' THEN 'form' WHEN 'upload-form' THEN 'upload-form' ELSE set_name END AS set_name, key, kind, page_id FROM found WHERE kind NOT IN ('url', 'subdomains', 'aws')",
     "exact_unique": f"{PLAIN_LINKS} SELECT DISTINCT url AS src, link FROM links",
     "kind_precedence": f"{FOUND_PLAIN} SELECT seed_id, kind, count(*) AS urls FROM found WHERE set_name = 'link' GROUP BY 1, 2",
     "canonical_dedup": f"{BASE} SELECT lower(canonical) AS key, min(page_id) AS page_id, count(*) AS copies FROM canon GROUP BY 1",
@@ -294,13 +293,13 @@ ORACLES = {
     "registrable_domain": f"""{BASE}, h AS (SELECT DISTINCT host, apex, regexp_extract(host, '^([^.]+)', 1) AS l FROM p)
       SELECT DISTINCT * FROM (SELECT host, apex AS domain FROM h UNION ALL SELECT 'a.' || l || '.com.ua', l || '.com.ua' FROM h
         UNION ALL SELECT 'a.' || l || '.x.ck', l || '.x.ck' FROM h UNION ALL SELECT l || '.www.ck', 'www.ck' FROM h
-        UNION ALL SELECT l || '.ck', NULL FROM h UNION ALL SELECT 'a.' || l || '.unlisted', l || '.unlisted' FROM h UNION ALL SELECT 'com', NULL)""",
+        UNION ALL SELECT l || '.ck', CASE WHEN l = 'www' THEN 'www.ck' END FROM h UNION ALL SELECT 'a.' || l || '.unlisted', l || '.unlisted' FROM h UNION ALL SELECT 'com', NULL)""",
     "pages_by_seed": f"""{BASE} SELECT s.seed_id, page_id, 'host' AS mode FROM p JOIN seeds s ON p.host = s.host WHERE regexp_matches(url, scope)
       UNION ALL SELECT s.seed_id, page_id, 'apex' FROM p JOIN apexes s ON p.apex = s.apex WHERE regexp_matches(url, scope)""",
     "frontier_fetch": f"{BASE}, {CHAIN} SELECT f.canonical, f.page_id FROM firsts f WHERE canonical IN (SELECT dst FROM chain)",
     "all_findings": f"{FOUND} SELECT seed_id, kind, input, source, type, output, status, length FROM found",
     "crawl_frontier": f"{CRAWL} SELECT seed_id, f.page_id, url, CAST(depth AS INT) AS depth FROM reached r JOIN firsts f ON f.canonical = r.url",
-    "crawl_depths": f"{CRAWL} SELECT seed_id, url, CAST(round AS INT) AS round FROM reached",
+    "crawl_depths": f"{CRAWL} SELECT seed_id, lower(url) AS url_key, CAST(min(round) AS INT) AS round FROM reached GROUP BY 1, 2",
     "multi_seed_findings": f"""SELECT * FROM ({FOUND} SELECT seed_id, kind, count(*) AS findings FROM found GROUP BY 1, 2)
       UNION ALL SELECT * FROM ({FOUND_APEX} SELECT -seed_id - 1, kind, count(*) FROM found GROUP BY 1, 2)""",
     "render_candidates": f"""{BASE}, c AS (SELECT seed_id, seed_url AS url, 0 AS g, -1 AS page_id FROM seeds UNION ALL
@@ -327,7 +326,7 @@ ORACLES = {
         ).split()
     )
     + " FROM found GROUP BY seed_id",
-    "stream_dedup": f"{FOUND} SELECT seed_id, CASE WHEN kind IN ('url', 'upload-form') THEN kind WHEN kind = 'subdomains' THEN kind ELSE {SETS} END AS set_name, key FROM found",
+    "stream_dedup": f"{FOUND} SELECT seed_id, CASE WHEN kind IN ('url', 'upload-form') THEN kind WHEN kind = 'subdomains' THEN kind ELSE set_name END AS set_name, key FROM found",
     "stream_sink": f"""{FOUND} SELECT replace(regexp_extract(input, '^https?://([^/?#]+)', 1), '.', '_') AS host_key,
       sum(CASE WHEN kind = 'subdomains' THEN 2 ELSE 1 END)::BIGINT AS lines FROM found GROUP BY 1""",
     "stream_findings": FOUND.replace(

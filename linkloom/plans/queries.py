@@ -371,7 +371,7 @@ def exact_unique(spark, folder):
 
 def kind_precedence(spark, folder):
     pages = _pages(spark, folder)
-    found = discovery.findings(pages, _host_seeds(pages), scans=("quoted", "tag")).where("set_name = 'url'")
+    found = discovery.findings(pages, _host_seeds(pages), scans=("quoted", "tag")).where("set_name = 'link'")
     return found.groupBy("seed_id", "kind").agg(F.count(F.lit(1)).alias("urls"))
 
 
@@ -382,7 +382,7 @@ def canonical_dedup(spark, folder):
 def new_frontier(spark, folder):
     pages = _pages(spark, folder)
     links = discovery.findings(fixtures.pages_rich(pages), _host_seeds(pages), scans=("quoted", "tag"))
-    links = links.where("set_name = 'url'").select("seed_id", F.col("output").alias("url"))
+    links = links.where("set_name = 'link'").select("seed_id", F.col("output").alias("url"))
     return dedup.unseen(links, _visited(pages), ["seed_id", "url"])
 
 
@@ -445,7 +445,8 @@ def crawl_frontier(spark, folder):
 
 
 def crawl_depths(spark, folder):
-    return _crawl(spark, folder).select("seed_id", "url", "round")
+    key = dedup.seen_key(F.col("url")).alias("url_key")
+    return _crawl(spark, folder).groupBy("seed_id", key).agg(F.min("round").alias("round"))
 
 
 def multi_seed_findings(spark, folder):
@@ -521,7 +522,7 @@ def findings_summary(spark, folder):
 def stream_findings(spark, folder):
     seeds = _host_seeds(_pages(spark, folder))
     out = streams.run_discovery(spark, folder, "pages.parquet", seeds, fixtures.pages_rich)
-    return out.select("seed_id", "kind", "page_id", "output")
+    return out.select("seed_id", "kind", "page_id", "output").distinct()
 
 
 def stream_dedup(spark, folder):

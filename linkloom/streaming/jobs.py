@@ -101,7 +101,7 @@ def run_frontier(
     path = scratch_path(spark, "frontier")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        links = findings(prepare(batch), seeds, scans=("quoted", "tag")).where("set_name = 'url'")
+        links = findings(prepare(batch), seeds, scans=("quoted", "tag")).where("set_name = 'link'")
         links = links.select("seed_id", F.col("output").alias("url"), F.lower("output").alias("key"))
         fresh = links.join(visited.select("seed_id", "url").distinct(), ["seed_id", "url"], "left_anti")
         if batch_id:
