@@ -18,11 +18,12 @@ QUOTED_LINK = (
 
 # Storage-bucket host and path forms.
 BUCKET = (
-    r"(?i)(?:\G|(?<![a-z0-9.-]))[a-z0-9.-]+\.s3\.amazonaws\.com"
-    r"|(?:\G|(?<![a-z0-9.-]))[a-z0-9.-]+\.s3-[a-z0-9-]\.amazonaws\.com"
-    r"|(?:\G|(?<![a-z0-9.-]))[a-z0-9.-]+\.s3-website[.-](?:eu|ap|us|ca|sa|cn)"
-    r"|//s3\.amazonaws\.com/[a-z0-9._-]+"
-    r"|//s3-[a-z0-9-]+\.amazonaws\.com/[a-z0-9._-]+"
+    r"(?:\G|(?<![a-zA-Z0-9.-]))(?=[a-zA-Z0-9-]*+\.)(?=[a-zA-Z0-9.-]+\.[sS]3[.-])(?:"
+    r"[a-zA-Z0-9.-]+(?i:\.s3\.amazonaws\.com)"
+    r"|[a-zA-Z0-9.-]+(?i:\.s3-[a-z0-9-]\.amazonaws\.com)"
+    r"|[a-zA-Z0-9.-]+(?i:\.s3-website[.-](?:eu|ap|us|ca|sa|cn)))"
+    r"|//(?i:s3\.amazonaws\.com/[a-z0-9._-]+)"
+    r"|//(?i:s3-[a-z0-9-]+\.amazonaws\.com/[a-z0-9._-]+)"
 )
 
 # A dotted run of host characters; a subdomain match never leaves such a run.

@@ -65,13 +65,17 @@ def _tokens(scan: str, values: Column, gate: Column | None = None) -> Column:
 
 
 def scan(
-    pages: DataFrame, scans: tuple[str, ...] = SCANS, text_gate: Column | None = None, scripts: bool = False
+    pages: DataFrame,
+    scans: tuple[str, ...] = SCANS,
+    text_gate: Column | None = None,
+    scripts: bool = False,
+    domain: Column | None = None,
 ) -> DataFrame:
     """One row per token found by the chosen scans, with ``scan``, ``ord`` and ``token``.
 
     ``pages`` comes from :func:`responses`, with any further columns to carry
-    along. ``text_gate`` switches the text scans of a row off. With ``scripts``
-    the bodies are script files: no content-type gate and no tags.
+    along. ``text_gate`` switches the text scans of a row off; ``domain`` drops
+    host runs that do not lie under it. With ``scripts`` the bodies are script files: no content-type gate and no tags.
     """
     success = scanned_asset(F.col("status")) if scripts else is_success(F.col("status"))
     gate = F.col("decoded").isNotNull() & success
@@ -84,8 +88,14 @@ def scan(
         shown = success if scripts else success | reported_error(F.col("status"))
         arrays.append(_tokens("response", F.array(F.lit("")), shown))
     if "host" in scans:
-        runs = F.array_distinct(F.regexp_extract_all(body, F.lit(patterns.HOST_RUN), F.lit(0)))
-        arrays.append(_tokens("host", runs, gate))
+        runs = F.regexp_extract_all(body, F.lit(patterns.HOST_RUN), F.lit(0))
+        if domain is not None:
+            below = F.concat(F.lit("."), F.lower(domain))
+            gate_host = gate & F.contains(F.lower(body), below)
+            runs = F.filter(runs, lambda r: F.contains(F.lower(r), below))
+        else:
+            gate_host = gate
+        arrays.append(_tokens("host", F.array_distinct(runs), gate_host))
     if "bucket" in scans:
         named = gate & F.contains(F.lower(body), F.lit("s3"))
         found = F.array_distinct(F.regexp_extract_all(body, F.lit(patterns.BUCKET), F.lit(0)))

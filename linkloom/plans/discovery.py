@@ -46,7 +46,7 @@ def raw_findings(
     if is_small(seeds, limit):
         df = urls.pinned(attach_seeds(df, seeds, limit), "length", "decoded")
         df = df.withColumn("page_in_scope", in_scope(F.col("url")))
-        tokens = scan(df, scans, F.col("page_in_scope") & F.col("_counted"), scripts)
+        tokens = scan(df, scans, F.col("page_in_scope") & F.col("_counted"), scripts, F.col("domain"))
     else:
         tokens = attach_seeds(scan(df, scans, F.col("_counted"), scripts), seeds, limit)
         tokens = tokens.withColumn("page_in_scope", in_scope(F.col("url")))

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -121,6 +122,23 @@ def test_buckets(apply):
     assert apply(scan, *bodies) == [["b.s3.amazonaws.com", "//s3.amazonaws.com/b1"], [], ["d.s3-website-us"]]
 
 
+def test_bucket_scan_matches_a_plain_search(spark):
+    """Against the plain alternatives, which backtrack but mean the same."""
+    plain = re.compile(
+        r"[a-z0-9.-]+\.s3\.amazonaws\.com|[a-z0-9.-]+\.s3-[a-z0-9-]\.amazonaws\.com"
+        r"|[a-z0-9.-]+\.s3-website[.-](?:eu|ap|us|ca|sa|cn)"
+        r"|//s3\.amazonaws\.com/[a-z0-9._-]+|//s3-[a-z0-9-]+\.amazonaws\.com/[a-z0-9._-]+",
+        re.I,
+    )
+    draw = random.Random(3)
+    parts = [".s3", ".amazonaws.com", ".s3-a", ".s3-website-us", "//s3", "//s3-x", "/k_1", ".", "-", "a", "B9", " ", "_", ".S3"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 14))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    found = df.select("i", F.regexp_extract_all("s", F.lit(patterns.BUCKET), F.lit(0)).alias("v")).orderBy("i")
+    wrong = [(texts[r.i], r.v) for r in found.collect() if r.v != plain.findall(texts[r.i])]
+    assert wrong == []
+
+
 def test_start_tags_and_attributes(apply):
     doc = (
         "<!-- <a href='/no'> --><base href='/b/'><script src=/x.js>var a='<a href=\"/no2\">';</script>"
