@@ -38,16 +38,15 @@ def raw_findings(
     so only pages in some scope are scanned and nothing is shuffled. With many,
     the bodies are scanned first and only the narrow token rows are joined.
     """
-    df, seeds = responses(pages), seed_columns(seeds)
-    if skip_lengths:
-        df = df.withColumn("_counted", ~F.col("length").isin(*skip_lengths))
-    else:
-        df = df.withColumn("_counted", F.lit(True))
+    seeds = seed_columns(seeds)
+    counted = ~F.col("length").isin(*skip_lengths) if skip_lengths else F.lit(True)
     if is_small(seeds, limit):
-        df = urls.pinned(attach_seeds(df, seeds, limit), "length", "decoded")
+        df = attach_seeds(pages.withColumn("host", urls.url_host(F.col("url"))), seeds, limit)
+        df = urls.pinned(responses(df), "length", "decoded").withColumn("_counted", counted)
         df = df.withColumn("page_in_scope", in_scope(F.col("url")))
         tokens = scan(df, scans, F.col("page_in_scope") & F.col("_counted"), scripts, F.col("domain"))
     else:
+        df = responses(pages).withColumn("_counted", counted)
         tokens = attach_seeds(scan(df, scans, F.col("_counted"), scripts), seeds, limit)
         tokens = tokens.withColumn("page_in_scope", in_scope(F.col("url")))
         tokens = tokens.where(F.col("page_in_scope") | F.col("scan").isin("response", "tag"))
