@@ -8,6 +8,7 @@ from ..functions import patterns, urls
 from ..session import materialized
 from .dedup import ARRIVAL, first_seen
 from .extract import link_edges
+from .joins import lookup_join
 from .scope import SCOPE_COLUMNS, in_scope
 
 COMPACT_EVERY = 8
@@ -49,18 +50,19 @@ def crawl(
 
     Each round is checkpointed to the shared folder, so a lost executor costs no
     more than a re-read, and the plan of a round does not grow with the rounds
-    before it. What was claimed and visited is kept as one table per round,
+    before it. A small frontier is broadcast, so its round reads the graph without
+    shuffling it; a large one shuffles both with a salt. What was claimed and visited is kept as one table per round,
     merged every few rounds.
     """
     state = ["seed_id", "url", "depth", "round", *SCOPE_COLUMNS, "seed_canon"]
-    graph = materialized(graph.repartition("src"))
+    graph = materialized(graph)
     frontier = seeds.withColumns({"url": F.col("seed_canon"), "depth": F.lit(1), "round": F.lit(1)}).select(*state)
     frontier = materialized(first_seen(frontier, ["seed_id", "url"], ["depth", "round"]))
     visited, claimed = [frontier.select("seed_id", "url", "depth", "round")], []
     number = 1
     while not frontier.isEmpty() and (max_rounds is None or number < max_rounds):
         number += 1
-        reached = frontier.withColumnRenamed("url", "src").join(graph, "src")
+        reached = lookup_join(graph, frontier.withColumnRenamed("url", "src"), "src")
         links = reached.withColumn("dst", F.coalesce("dst", "seed_canon")).where(in_scope(F.col("dst")))
         links = links.withColumn("key", F.lower("dst")).drop("src", "round")
         first = first_seen(links, ["seed_id", "key"], ARRIVAL)

@@ -24,10 +24,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", l
     """Equi-join that broadcasts ``small`` only when it measures under ``limit``.
 
     Beyond the limit both sides shuffle on the key and a salt, so that one key
-    holding much of ``big`` is spread over ``SALTS`` tasks.
+    holding much of ``big`` is spread over ``SALTS`` tasks. The salt is a hash of
+    the row: a task that is run again sends its rows to the same place.
     """
     if is_small(small, limit):
         return big.join(F.broadcast(small), on, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = big.withColumn("_salt", F.floor(F.rand(11) * SALTS).cast("int"))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     return left.join(small.withColumn("_salt", salts), [on, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..schema import KINDS
+from .joins import lookup_join
 
 # What the keyword reports look for.
 ENDPOINT_WORDS = "(?i)api|v1|v2|admin"
@@ -26,7 +27,7 @@ def dangling_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
     targets = targets.withColumn("host", urls.url_host(F.col("dst")))
     hosts = known.select(urls.url_host(F.col("canonical")).alias("host")).distinct()
     missing = targets.join(known.select(F.col("canonical").alias("dst")).distinct(), "dst", "left_anti")
-    return missing.join(hosts, "host", "left_semi").select("host", "dst", "links")
+    return lookup_join(missing, hosts, "host", "left_semi").select("host", "dst", "links")
 
 
 def assets_by_host(assets: DataFrame) -> DataFrame:

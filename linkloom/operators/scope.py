@@ -139,12 +139,14 @@ def attach_seeds(pages: DataFrame, seeds: DataFrame, limit: int = BROADCAST_BYTE
     ``pages`` needs ``host``; ``seeds`` comes from :func:`scope_rules`. Pages look
     themselves up under their host and each suffix of it, so the join yields the
     matching pairs and nothing else. A small seed table is broadcast; a large one
-    meets the distinct hosts first, and only that map is joined to the pages.
+    meets the distinct hosts first, and only that map is joined to the pages. A
+    stream has no distinct hosts yet and joins the table directly.
     """
     seeds = seeds.select(*[c for c in seeds.columns if c not in pages.columns])
-    if is_small(seeds, limit):
+    small = is_small(seeds, limit)
+    if small or pages.isStreaming:
         keyed = pages.withColumn("attach_key", F.explode_outer(_attach_keys(F.col("host"))))
-        return keyed.join(F.broadcast(seeds), "attach_key").drop("attach_key")
+        return keyed.join(F.broadcast(seeds) if small else seeds, "attach_key").drop("attach_key")
     hosts = pages.select("host").where("host <> ''").distinct()
     keyed = hosts.withColumn("attach_key", F.explode_outer(_attach_keys(F.col("host"))))
     return lookup_join(pages, keyed.join(seeds, "attach_key").drop("attach_key"), "host", limit=limit)

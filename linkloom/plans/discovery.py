@@ -1,13 +1,14 @@
 """Pages and seeds in, typed findings out."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text, urls
 from ..operators.dedup import first_seen
 from ..operators.extract import SCANS, classify, resolve, responses, scan
 from ..operators.joins import BROADCAST_BYTES, is_small
-from ..operators.scope import SCOPE_COLUMNS, attach_seeds, in_scope
+from ..operators.scope import SCOPE_COLUMNS, attach_seeds, in_scope, in_scope_by_host
+from ..session import materialized
 from ..schema import FINDING_COLUMNS
 
 SEED_COLUMNS = ["seed_id", "input", "seed_url", "seed_canon", "domain", *SCOPE_COLUMNS]
@@ -29,7 +30,7 @@ def raw_findings(
     scans: tuple[str, ...] = SCANS,
     scripts: bool = False,
     skip_lengths: tuple[int, ...] = (),
-    scope: Column | None = None,
+    strict: bool = False,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Findings before de-duplication.
@@ -37,22 +38,24 @@ def raw_findings(
     With few seeds, pages meet the broadcast seeds before their bodies are read,
     so only pages in some scope are scanned and nothing is shuffled. With many,
     the bodies are scanned first and only the narrow token rows are joined.
+    ``strict`` compares hosts instead of running the scope pattern on whole URLs.
     """
+    covers = in_scope_by_host if strict else in_scope
     seeds = seed_columns(seeds)
     counted = ~F.col("length").isin(*skip_lengths) if skip_lengths else F.lit(True)
     if is_small(seeds, limit):
         df = attach_seeds(pages.withColumn("host", urls.url_host(F.col("url"))), seeds, limit)
         df = urls.pinned(responses(df), "length", "decoded").withColumn("_counted", counted)
-        df = df.withColumn("page_in_scope", in_scope(F.col("url")))
+        df = df.withColumn("page_in_scope", covers(F.col("url")))
         tokens = scan(df, scans, F.col("page_in_scope") & F.col("_counted"), scripts, F.col("domain"))
     else:
         df = responses(pages).withColumn("_counted", counted)
         tokens = attach_seeds(scan(df, scans, F.col("_counted"), scripts), seeds, limit)
-        tokens = tokens.withColumn("page_in_scope", in_scope(F.col("url")))
+        tokens = tokens.withColumn("page_in_scope", covers(F.col("url")))
         tokens = tokens.where(F.col("page_in_scope") | F.col("scan").isin("response", "tag"))
     tokens = tokens.where(F.col("_counted") | (F.col("scan") != "response"))
     rows = classify(resolve(tokens), scripts)
-    rows = rows.withColumn("in_scope", in_scope(F.col("link")) if scope is None else scope)
+    rows = rows.withColumn("in_scope", covers(F.col("link")))
     gated = F.col("set_name").isin("link", "js") & (F.col("type") != "javascript")
     rows = rows.where(~gated | F.col("in_scope"))
     kind, token = F.col("kind"), F.col("token")
@@ -102,10 +105,17 @@ def asset_findings(assets: DataFrame, scripts: DataFrame, seeds: DataFrame, **op
     """Findings inside the bodies of fetched script assets.
 
     ``assets`` are javascript findings. Those in scope, and their un-minified
-    variants, are looked up among the stored script bodies.
+    variants, are looked up among the stored script bodies. Few of them are
+    broadcast to cut the bodies that are read; many are matched to the findings
+    instead, since bodies are never shuffled.
     """
-    wanted = fetch_targets(assets).select(F.col("output").alias("url")).distinct()
-    return findings(scripts.join(wanted, "url", "left_semi"), seeds, scripts=True, **options)
+    wanted = fetch_targets(assets).select("seed_id", F.col("output").alias("page_url")).distinct()
+    wanted = materialized(wanted)
+    names = wanted.select(F.col("page_url").alias("url")).distinct()
+    if is_small(names):
+        scripts = scripts.join(F.broadcast(names), "url", "left_semi")
+    rows = raw_findings(scripts, seeds, scripts=True, **options)
+    return first_seen(rows.join(wanted, ["seed_id", "page_url"], "left_semi"), FINDING_KEYS)
 
 
 def fetch_targets(assets: DataFrame) -> DataFrame:

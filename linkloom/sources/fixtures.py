@@ -203,7 +203,7 @@ def archive_paged(pages: DataFrame) -> DataFrame:
     )
     packed = rows.groupBy("domain", "page").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     last = packed.groupBy("domain").agg(F.max("page").alias("last"))
-    joined = packed.join(last, "domain")
+    joined = lookup_join(packed, last, "domain")
     payload = F.to_json(F.struct((F.col("page") < F.col("last")).alias("has_next"), F.col("rs.v").alias("url_list")))
     return joined.select("domain", "page", payload.alias("payload"))
 

@@ -87,6 +87,23 @@ def test_many_seeds_take_the_shuffle_path(spark, seeds):
     assert a == b and len({r[0] for r in a}) == 3
 
 
+def test_strict_scope_compares_hosts(spark, seeds):
+    pages = pages_of(spark, ("https://example.com/", '<a href="https://evil.com/x.example.com/">1</a>'))
+    targets = seeds("example.com")
+    assert outputs(discovery.findings(pages, targets, scans=("quoted",))) == [("linkfinder", "https://evil.com/x.example.com/")]
+    assert outputs(discovery.findings(pages, targets, scans=("quoted",), strict=True)) == []
+
+
+def test_salted_join_equals_the_broadcast_join(spark):
+    from linkloom.operators.joins import lookup_join
+
+    big = spark.range(5000).select((F.col("id") % 3).alias("k"), "id")
+    small = spark.range(2).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = (sorted(map(str, lookup_join(big, small, "k", how, limit).collect())) for limit in (0, 1 << 20))
+        assert a == b
+
+
 def test_statuses_lengths_and_the_size_cap(spark, seeds):
     big = "x" * (5 * 1024 * 1024) + '"/late/link"'
     rows = pages_of(spark, *[(f"https://h.com/{n}", f'"/q/{n}"<a href=/t{n}>') for n in range(5)], ("https://h.com/big", big))
