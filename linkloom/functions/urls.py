@@ -9,7 +9,6 @@ mode and refuses characters that are accepted here.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import patterns as P
 
 SCHEME, AUTHORITY, PATH, QUERY, FRAGMENT = range(5)
 
