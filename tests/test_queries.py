@@ -24,4 +24,4 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract.QUERIES) == set(contract.ORACLES)
