@@ -7,6 +7,8 @@ import importlib
 #: Module and function of each query; the modules register nothing themselves.
 NAMES = {
     "op4_secret_scan": "secret_scan",
+    "op5_language_id": "language_id",
+    "op7_source_mix": "mixing",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in NAMES.items()}
