@@ -9,6 +9,7 @@ NAMES = {
     "op4_secret_scan": "secret_scan",
     "op5_language_id": "language_id",
     "op7_source_mix": "mixing",
+    "op10_toxicity": "toxicity",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in NAMES.items()}
