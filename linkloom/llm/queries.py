@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op4_secret_scan": "secret_scan",
     "op5_language_id": "language_id",
+    "op6_sequence_packing": "packing",
     "op7_source_mix": "mixing",
     "op10_toxicity": "toxicity",
 }
