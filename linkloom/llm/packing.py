@@ -129,20 +129,21 @@ class Places:
                 used[length] += count * times
                 offset += length * times
             first += count
-        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
-        self.length, self.rank, self.first, self.offset, self.count = (np.ascontiguousarray(table[:, i]) for i in range(5))
+        self.table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
-    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def find(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of each piece."""
+        lengths, ranks, first, offsets, count = (np.ascontiguousarray(table[:, i]) for i in range(5))
         sequence, offset = np.empty_like(rank), np.empty_like(rank)
-        low, high = np.searchsorted(self.length, length, "left"), np.searchsorted(self.length, length, "right")
+        low, high = np.searchsorted(lengths, length, "left"), np.searchsorted(lengths, length, "right")
         for value in np.unique(length):
             own = np.flatnonzero(length == value)
             a, b = low[own[0]], high[own[0]]
-            row = a + np.searchsorted(self.rank[a:b], rank[own], "right") - 1
-            within = rank[own] - self.rank[row]
-            sequence[own] = self.first[row] + within % self.count[row]
-            offset[own] = self.offset[row] + within // self.count[row] * value
+            row = a + np.searchsorted(ranks[a:b], rank[own], "right") - 1
+            within = rank[own] - ranks[row]
+            sequence[own] = first[row] + within % count[row]
+            offset[own] = offsets[row] + within // count[row] * value
         return sequence, offset
 
 
@@ -162,13 +163,13 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = stored(pieces(docs, path).withColumn("piece_id", F.monotonically_increasing_id()), "pack-pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # a row for each length at most
-    places = spark.sparkContext.broadcast(Places(shortest_pack_first(histogram)))
+    places = spark.sparkContext.broadcast(Places(shortest_pack_first(histogram)).table)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sequence, offset = places.value.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+                sequence, offset = Places.find(places.value, batch.column("length").to_numpy(), batch.column("rank").to_numpy())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return ranked(rows, sum(histogram.values())).select(*names, "rank").mapInArrow(run, PIECES + ", sequence_id long, offset long")

@@ -6,12 +6,15 @@ import importlib
 
 #: Module and function of each query; the modules register nothing themselves.
 NAMES = {
+    "op2_bitslice_topk": "bitslice_topk",
     "op4_secret_scan": "secret_scan",
     "op5_language_id": "language_id",
     "op6_sequence_packing": "packing",
     "op7_source_mix": "mixing",
+    "op8_block_knn": "block_knn",
     "op10_toxicity": "toxicity",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in NAMES.items()}
-ORACLES: dict[str, str] = {}
+#: SQL stands beside the query that it describes, as SQL; the others are tested against brute force.
+ORACLES = {name: module.SQL for name, module in ((n, importlib.import_module(f"linkloom.llm.{m}")) for n, m in NAMES.items()) if hasattr(module, "SQL")}

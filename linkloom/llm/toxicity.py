@@ -190,10 +190,10 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def _scores(docs: DataFrame, model: Model, keep: list[str]):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
             scores = pa.array([scorer.score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], [*keep, "score"])
