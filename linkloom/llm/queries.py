@@ -12,6 +12,7 @@ NAMES = {
     "op6_sequence_packing": "packing",
     "op7_source_mix": "mixing",
     "op8_block_knn": "block_knn",
+    "op9_minmax_dedup": "minmax_dedup",
     "op10_toxicity": "toxicity",
 }
 

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import crc_remainder, table
 
 #: The bounds of the fit: labelled documents of each class, characters of each that are learned from.
-SAMPLE_DOCS = {1: 1200, 0: 2400}
+SAMPLE_DOCS = {1: 1000, 0: 2000}
 SAMPLE_CHARS = 8192
 ORDINARY_BYTES = 12 * 1024
 TOXIC_BYTES = 6 * 1024
-FOLDS = 5
+FOLDS = 4
 
 #: Words of a window, in two sizes; savings in bytes from which windows are counted.
 WINDOW_WORDS = (1, 3)
@@ -85,17 +85,12 @@ def _pieces(tokens: set[str]) -> set[str]:
     return {" " + w[:n] for w in tokens for n in range(4, len(w) + 1)} | {f" {w} " for w in tokens if len(w) > 2}
 
 
-def _toxic_pieces(toxic: list[set[str]], ordinary: list[set[str]], least: int = 5, odds: float = 60.0) -> list[str]:
+def _toxic_pieces(here: Counter, there: Counter, toxic: int, ordinary: int, least: int = 5, odds: float = 60.0) -> list[str]:
     """Pieces that at least five toxic texts hold, sixty times as often as ordinary ones do; the most common last.
 
     A piece with which a longer one begins that is nearly as common is left to the longer one.
     """
-    here, there = Counter(), Counter()
-    for tokens in toxic:
-        here.update(_pieces(tokens))
-    for tokens in ordinary:
-        there.update(p for p in _pieces(tokens) if here[p] >= least)
-    good = {p: n for p, n in here.items() if n >= least and n * len(ordinary) >= odds * len(toxic) * (there[p] + 0.5)}
+    good = {p: n for p, n in here.items() if n >= least and n * ordinary >= odds * toxic * (there[p] + 0.5)}
     longer: Counter = Counter()
     for p, n in good.items():
         for cut in range(5, len(p)):
@@ -156,29 +151,54 @@ def _logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 0.05, r
     return tuple(float(v) for v in w)
 
 
-def _dictionaries(sample: list[tuple[list[str], int]]) -> Model:
-    toxic, ordinary = ([t for t, y in sample if y == label] for label in (1, 0))
-    share = max(64, ORDINARY_BYTES // max(1, len(ordinary)))
-    base = b"".join((" " + " ".join(t))[:share].encode() for t in ordinary)[-ORDINARY_BYTES:]
-    pieces = "".join(_toxic_pieces(list(map(set, toxic)), list(map(set, ordinary)))).encode()[-TOXIC_BYTES:]
-    return Model(base, base + pieces)
+class Corpus:
+    """The sample's texts as words, and in how many texts of each class and fold each piece occurs."""
+
+    def __init__(self, rows: list[tuple[str, int, int]], least: int = 5):
+        self.rows = [(words(text), toxic, fold, text) for text, toxic, fold in rows]
+        self.counts = {(label, fold): Counter() for label in (0, 1) for fold in range(FOLDS)}
+        for label in (1, 0):
+            for tokens, toxic, fold, _ in self.rows:
+                if toxic == label:
+                    found = _pieces(set(tokens))
+                    self.counts[label, fold].update(found if label else found & common)
+            if label:
+                common = {p for p, n in self.total(1, None).items() if n >= least}
+
+    def total(self, label: int, without: int | None) -> Counter:
+        out: Counter = Counter()
+        for fold in range(FOLDS):
+            if fold != without:
+                out.update(self.counts[label, fold])
+        return out
+
+    def dictionaries(self, without: int | None = None) -> Model | None:
+        """Both dictionaries of all folds but one."""
+        learn = [(t, y) for t, y, fold, _ in self.rows if fold != without]
+        ordinary = [t for t, y in learn if not y]
+        if not ordinary or len(ordinary) == len(learn):
+            return None
+        share = max(64, ORDINARY_BYTES // len(ordinary))
+        base = b"".join((" " + " ".join(t))[:share].encode() for t in ordinary)[-ORDINARY_BYTES:]
+        found = _toxic_pieces(self.total(1, without), self.total(0, without), len(learn) - len(ordinary), len(ordinary))
+        return Model(base, base + "".join(found).encode()[-TOXIC_BYTES:])
 
 
 def fit(sample: DataFrame) -> Model | None:
     """Dictionaries of the sample; the curve from texts that the dictionaries they are judged by have not seen."""
-    rows = {r.text: r for r in sample.collect()}.values()  # equal texts count once
-    rows = [(words(r.text), r.toxic, r.fold, r.text) for r in rows]
+    once = {r.text: (r.text, r.toxic, r.fold) for r in sample.collect()}  # equal texts count once
+    corpus = Corpus(list(once.values()))
     features, labels = [], []
     for fold in range(FOLDS):
-        learn = [r[:2] for r in rows if r[2] != fold]
-        if {y for _, y in learn} == {0, 1}:
-            scorer = Scorer(_dictionaries(learn))
-            judged = [r for r in rows if r[2] == fold]
-            features += [scorer.features(r[3]) for r in judged]
-            labels += [r[1] for r in judged]
-    if set(labels) != {0, 1}:
+        if learnt := corpus.dictionaries(fold):
+            scorer = Scorer(learnt)
+            judged = [(y, text) for _, y, own, text in corpus.rows if own == fold]
+            features += [scorer.features(text) for _, text in judged]
+            labels += [y for y, _ in judged]
+    whole = corpus.dictionaries()
+    if whole is None or set(labels) != {0, 1}:
         return None
-    return replace(_dictionaries([r[:2] for r in rows]), weights=_logistic(np.array(features), np.array(labels, float)))
+    return replace(whole, weights=_logistic(np.array(features), np.array(labels, float)))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
