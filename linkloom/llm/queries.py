@@ -7,6 +7,7 @@ import importlib
 #: Module and function of each query; the modules register nothing themselves.
 NAMES = {
     "op2_bitslice_topk": "bitslice_topk",
+    "op3_suffix_dedup": "suffix_dedup",
     "op4_secret_scan": "secret_scan",
     "op5_language_id": "language_id",
     "op6_sequence_packing": "packing",
