@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query; the modules register nothing themselves.
 NAMES = {
+    "op1_html_extract": "html_extract",
     "op2_bitslice_topk": "bitslice_topk",
     "op3_suffix_dedup": "suffix_dedup",
     "op4_secret_scan": "secret_scan",
