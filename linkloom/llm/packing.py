@@ -15,7 +15,10 @@ is no single group.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ SEQUENCE = 4096
 END = 2
 #: Pieces of one bucket on average; words whose ids a task remembers.
 BUCKET_ROWS = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,8 +43,20 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII punctuation but the apostrophe: after a letter or digit it always begins a word of the tokenizer's.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that are looked up in one text.
+TOGETHER = 1024
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes. The tokenizer never joins across white space, so ids are kept by word."""
+    """Token ids of texts as little-endian bytes.
+
+    The tokenizer never joins across white space, nor letters with the punctuation after them, and it ignores
+    case; so ids are kept by word, and new words are put together from a stem and the punctuation after it.
+    Stems of letters alone are one word of the tokenizer's each, so many are looked up as one text, which is
+    cut again behind the tokens that end a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,17 +64,68 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = array("I", found.ids).tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(some) or ends[-1] != 4 * len(ids):
+                self._one_by_one(some)
+                continue
+            whole, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                self.known[word] = whole[start:end]
+                start = end
+
+    def _learn(self, words: set[str]) -> None:
+        known, made, small, letters, other = self.known, [], {}, set(), set()
+        for word in words:
+            stem = word.rstrip(PUNCTUATION)
+            if not stem or "<|" in word or not stem[-1].isalnum():
+                other.add(word)
+                continue
+            if len(stem) < len(word):
+                made.append((word, stem, tail := word[len(stem) :]))
+                if tail not in known:
+                    other.add(tail)
+            if stem not in known:
+                low = stem.lower() if stem.isascii() else stem
+                if low != stem:
+                    small[stem] = low
+                if low not in known:
+                    (letters if low.isalpha() else other).add(low)
+        self._together(list(letters))
+        self._one_by_one(list(other))
+        for stem, low in small.items():
+            known[stem] = known[low]
+        for word, stem, tail in made:
+            known[word] = known[stem] + known[tail]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        end = np.array([END], "<u4").tobytes()
-        for text in texts:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            if new := [w for w in set(parts) if w not in self.known]:
-                for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(found.ids, "<u4").tobytes()
-            yield b"".join([*map(self.known.__getitem__, parts), end])
+        """The ids of each text with the end mark; the texts' new words are looked up together."""
+        end = array("I", [END]).tobytes()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
+        for parts in split:
+            yield b"".join(map(self.known.__getitem__, parts)) + end
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, kept from task to task where Spark uses the process again."""
+    kept = sys.modules.setdefault("_linkloom_encoders", types.ModuleType("_linkloom_encoders")).__dict__
+    return kept.get(path) or kept.setdefault(path, Encoder(path))
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -68,7 +134,7 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     width = 4 * SEQUENCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for i in range(0, batch.num_rows, 256):
