@@ -32,19 +32,19 @@ HOST_RUN = r"(?<![a-zA-Z0-9_-])[a-zA-Z0-9_-]++\.[a-zA-Z0-9_.-]++"
 DNS_LABELS = r"(?i)(?:(?:[a-z0-9]|[_a-z0-9][_a-z0-9-]{0,61}[a-z0-9])[.]){1,127}"
 
 # Extensions that are never reported as links nor fetched.
-STATIC_EXTENSIONS = (
-    "png apng bmp gif ico cur jpg jpeg jfif pjp pjpeg svg tif tiff webp xbm 3gp aac flac mpg mpeg "
-    "mp3 mp4 m4a m4v m4p oga ogg ogv mov wav webm eot woff woff2 ttf otf css"
-).split()
-STATIC_ASSET = r"(?i)\.(?:" + "|".join(STATIC_EXTENSIONS) + r")(?:\?|#|\z)"
+STATIC_ASSET = (
+    r"(?i)\.(?:png|apng|bmp|gif|ico|cur|jpg|jpeg|jfif|pjp|pjpeg|svg|tif|tiff|webp|xbm|3gp|aac|flac|mpg|mpeg"
+    r"|mp3|mp4|m4a|m4v|m4p|oga|ogg|ogv|mov|wav|webm|eot|woff|woff2|ttf|otf|css)(?:\?|#|\z)"
+)
 # Extensions that make a link a script asset (case-sensitive).
 SCRIPT_TAG_EXTENSIONS = [".js", ".xml", ".json"]
 SCANNED_EXTENSIONS = [".js", ".xml", ".json", ".map"]
 
+# Quoted text that is no link.
 MIME_TOKEN = r"^[a-zA-Z][a-zA-Z0-9.+-]*/[a-zA-Z0-9.+-]+\z"
 DATE_TOKEN = r"^\d{1,2}/\d{1,2}/\d{2,4}\z"
 
-# Everything up to the last "allow:"/"disallow:" of a robots line; (?d) keeps \r inside the line.
+# Fixed value: everything up to the last "allow:"/"disallow:" of a robots line; (?d) keeps \r inside the line.
 ROBOTS_PREFIX = r"(?i)(?d).*llow:\s*"
 # Prefixes left over from percent-encoding in scraped host names.
 HOST_RESIDUE = r"^(?:20|25|2b|2f|3d|3a|40)+"
@@ -82,9 +82,9 @@ SITEMAP_PATHS = [
     "/category-sitemap.xml",
     "/author-sitemap.xml",
 ]
+# Fixed value: where robots files are.
 ROBOTS_PATH = "/robots.txt"
 
-# Size limits of the text scans, in bytes.
-MAX_SCAN_BYTES = 4 * 1024 * 1024
-REWRITE_BYTES = 1_000_000
+# The size, in bytes, under which a page may be worth rendering, and how many are rendered.
 MAX_RENDER_BYTES = 60 * 1024
+RENDER_BUDGET = 6

@@ -30,10 +30,10 @@ def decoded(text: Column) -> Column:
     return F.replace(F.replace(unescaped, F.lit("\\u002f"), F.lit("/")), F.lit("\\u0026"), F.lit("&"))
 
 
-def split_long_body(text: Column) -> Column:
-    """Break bodies over a million bytes after each ``;`` and ``,`` before they are scanned."""
+def split_long_body(text: Column, over: int) -> Column:
+    """Break bodies over so many bytes after each ``;`` and ``,``."""
     broken = F.replace(F.replace(text, F.lit(";"), F.lit(";\r\n")), F.lit(","), F.lit(",\r\n"))
-    return F.when(F.octet_length(text) > P.REWRITE_BYTES, broken).otherwise(text)
+    return F.when(F.octet_length(text) > over, broken).otherwise(text)
 
 
 def clean_host(name: Column) -> Column:

@@ -15,11 +15,12 @@ TEXT_PHASE, TAG_PHASE = 0, 1
 _TOKENS = "array<struct<scan:string,ord:int,token:string>>"
 
 
-def responses(pages: DataFrame, max_scan: int = patterns.MAX_SCAN_BYTES) -> DataFrame:
+def responses(pages: DataFrame, max_scan: int | None = None) -> DataFrame:
     """Add what the gates need: host, decoded body, byte length, content flags.
 
-    ``status`` and ``content_type`` default to a successful HTML response. Bodies
-    over the scan limit are not decoded and report their raw length.
+    ``status`` and ``content_type`` default to a successful HTML response. Errors
+    report their raw length. With ``max_scan``, so do bodies over that many bytes,
+    which are then not decoded.
     """
     df = pages
     if "status" not in df.columns:
@@ -27,11 +28,12 @@ def responses(pages: DataFrame, max_scan: int = patterns.MAX_SCAN_BYTES) -> Data
     if "content_type" not in df.columns:
         df = df.withColumn("content_type", F.lit("text/html"))
     raw = F.octet_length("html")
-    df = df.withColumn("decoded", F.when(raw <= max_scan, text.decoded(F.col("html"))))
+    body = text.decoded(F.col("html"))
+    df = df.withColumn("decoded", body if max_scan is None else F.when(raw <= max_scan, body))
     return df.withColumns(
         {
             "host": urls.url_host(F.col("url")),
-            "length": F.coalesce(F.octet_length("decoded"), raw).cast("int"),
+            "length": F.coalesce(F.when(is_success(F.col("status")), F.octet_length("decoded")), raw).cast("int"),
         }
     )
 
@@ -69,15 +71,18 @@ def scan(
     scans: tuple[str, ...] = SCANS,
     text_gate: Column | None = None,
     scripts: bool = False,
-    domain: Column | None = None,
+    rewrite_over: int | None = None,
 ) -> DataFrame:
     """One row per token found by the chosen scans, with ``scan``, ``ord`` and ``token``.
 
     ``pages`` comes from :func:`responses`, with any further columns to carry
-    along. ``text_gate`` switches the text scans of a row off; ``domain`` drops
-    host runs that do not lie under it. With ``scripts`` the bodies are script files: no content-type gate and no tags.
+    along. ``text_gate`` switches the text scans of a row off. With ``scripts`` the bodies are
+    script files: no content-type gate and no tags. Bodies over ``rewrite_over`` bytes are broken
+    after punctuation before the link scan; by default none is.
     """
-    success = scanned_asset(F.col("status")) if scripts else is_success(F.col("status"))
+    success = is_success(F.col("status"))
+    if scripts:
+        success = success & scanned_asset(F.col("status"))
     gate = F.col("decoded").isNotNull() & success
     if text_gate is not None:
         gate = gate & text_gate
@@ -89,19 +94,13 @@ def scan(
         arrays.append(_tokens("response", F.array(F.lit("")), shown))
     if "host" in scans:
         runs = F.regexp_extract_all(body, F.lit(patterns.HOST_RUN), F.lit(0))
-        if domain is not None:
-            below = F.concat(F.lit("."), F.lower(domain))
-            gate_host = gate & F.contains(F.lower(body), below)
-            runs = F.filter(runs, lambda r: F.contains(F.lower(r), below))
-        else:
-            gate_host = gate
-        arrays.append(_tokens("host", F.array_distinct(runs), gate_host))
+        arrays.append(_tokens("host", F.array_distinct(runs), gate))
     if "bucket" in scans:
         named = gate & F.contains(F.lower(body), F.lit("s3"))
         found = F.array_distinct(F.regexp_extract_all(body, F.lit(patterns.BUCKET), F.lit(0)))
         arrays.append(_tokens("bucket", found, named))
     if "quoted" in scans:
-        df = df.withColumn("_source", text.split_long_body(body)).withColumn("_source", text.decoded(F.col("_source")))
+        df = df.withColumn("_source", body if rewrite_over is None else text.split_long_body(body, rewrite_over)).withColumn("_source", text.decoded(F.col("_source")))
         found = F.regexp_extract_all(F.col("_source"), F.lit(patterns.QUOTED_LINK), F.lit(1))
         lines = F.array_distinct(F.filter(F.transform(found, text.one_line), lambda t: t != ""))
         arrays.append(_tokens("quoted", lines, gate if scripts else gate & may_hold_links(F.col("content_type"))))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from ..functions import patterns, urls
 from ..session import materialized
 from .dedup import ARRIVAL, first_seen
-from .extract import link_edges
+from .extract import is_success, link_edges
 from .joins import lookup_join
 from .scope import SCOPE_COLUMNS, in_scope
 
@@ -35,7 +35,7 @@ def crawl(
     graph: DataFrame,
     known: DataFrame,
     seeds: DataFrame,
-    max_depth: int = 1,
+    max_depth: int = 0,
     exclude: str | None = None,
     max_rounds: int | None = None,
 ) -> DataFrame:
@@ -97,21 +97,24 @@ def fetched(visits: DataFrame) -> DataFrame:
     return visits.where("page_id is not null")
 
 
-def render_candidates(pages: DataFrame, seeds: DataFrame, budget: int = 6) -> DataFrame:
+def render_candidates(
+    pages: DataFrame, seeds: DataFrame, budget: int = patterns.RENDER_BUDGET, max_bytes: int = patterns.MAX_RENDER_BYTES
+) -> DataFrame:
     """Pages worth rendering per seed: its own URL, then small HTML pages in page order.
 
-    ``pages`` carries ``seed_id``, ``length`` (raw bytes), ``content_type`` and
-    is in scope. The row limit is a group limit, which Spark applies before the
+    ``pages`` carries ``seed_id``, ``raw_length``, ``status``, ``content_type`` and
+    is in scope. Errors are never picked, nor is a seed whose own URL is out of its
+    scope. ``budget`` is the feature: so many pages for each seed. The row limit is a group limit, which Spark applies before the
     shuffle, so a seed with most of the pages sends ``budget`` rows per task.
     """
-    start = seeds.select("seed_id", F.col("url"), F.lit(0).alias("rank_group"), F.lit(-1).cast("long").alias("page_id"))
+    start = seeds.where(in_scope(F.col("url"))).select("seed_id", F.col("url"), F.lit(0).alias("rank_group"), F.lit(-1).cast("long").alias("page_id"))
     is_html = F.contains(F.lower("content_type"), F.lit("text/html"))
-    small = pages.where(is_html & (F.col("raw_length") < patterns.MAX_RENDER_BYTES))
+    small = pages.where(is_html & is_success(F.col("status")) & (F.col("raw_length") < max_bytes))
     small = small.select("seed_id", "url", F.lit(1).alias("rank_group"), "page_id")
     queue = start.unionByName(small).withColumn("key", F.lower("url"))
     queue = first_seen(queue, ["seed_id", "key"], ["rank_group", "page_id"])
     order = Window.partitionBy("seed_id").orderBy("rank_group", "page_id")
-    ranked = queue.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= (budget if budget > 0 else 6))
+    ranked = queue.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= budget)
     return ranked.select("seed_id", "url", F.col("pick").cast("int"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text, urls
 from ..operators.dedup import first_seen
-from ..operators.extract import SCANS, classify, resolve, responses, scan
+from ..operators.extract import SCANS, classify, is_success, resolve, responses, scan
 from ..operators.joins import BROADCAST_BYTES, is_small
 from ..operators.scope import SCOPE_COLUMNS, attach_seeds, in_scope, in_scope_by_host
 from ..session import materialized
@@ -35,24 +35,17 @@ def raw_findings(
 ) -> DataFrame:
     """Findings before de-duplication.
 
-    With few seeds, pages meet the broadcast seeds before their bodies are read,
-    so only pages in some scope are scanned and nothing is shuffled. With many,
-    the bodies are scanned first and only the narrow token rows are joined.
-    ``strict`` compares hosts instead of running the scope pattern on whole URLs.
+    Every body is scanned once, whatever the number of seeds whose scope covers it; only the
+    narrow token rows are joined to the seeds. ``strict`` compares hosts instead of running the
+    scope pattern on whole URLs. ``skip_lengths`` leaves out successful responses of these lengths.
     """
     covers = in_scope_by_host if strict else in_scope
     seeds = seed_columns(seeds)
-    counted = ~F.col("length").isin(*skip_lengths) if skip_lengths else F.lit(True)
-    if is_small(seeds, limit):
-        df = attach_seeds(pages.withColumn("host", urls.url_host(F.col("url"))), seeds, limit)
-        df = urls.pinned(responses(df), "length", "decoded").withColumn("_counted", counted)
-        df = df.withColumn("page_in_scope", covers(F.col("url")))
-        tokens = scan(df, scans, F.col("page_in_scope") & F.col("_counted"), scripts, F.col("domain"))
-    else:
-        df = responses(pages).withColumn("_counted", counted)
-        tokens = attach_seeds(scan(df, scans, F.col("_counted"), scripts), seeds, limit)
-        tokens = tokens.withColumn("page_in_scope", covers(F.col("url")))
-        tokens = tokens.where(F.col("page_in_scope") | F.col("scan").isin("response", "tag"))
+    counted = ~F.col("length").isin(*skip_lengths) | ~is_success(F.col("status")) if skip_lengths else F.lit(True)
+    df = responses(pages).withColumn("_counted", counted)
+    tokens = attach_seeds(scan(df, scans, F.col("_counted"), scripts), seeds, limit)
+    tokens = tokens.withColumn("page_in_scope", covers(F.col("url")))
+    tokens = tokens.where(F.col("page_in_scope") | F.col("scan").isin("response", "tag"))
     tokens = tokens.where(F.col("_counted") | (F.col("scan") != "response"))
     rows = classify(resolve(tokens), scripts)
     rows = rows.withColumn("in_scope", covers(F.col("link")))

@@ -13,11 +13,22 @@ BUCKET = r"(?i)[a-z0-9.-]+\.s3\.amazonaws\.com|[a-z0-9.-]+\.s3-[a-z0-9-]\.amazon
 STATIC = r"(?i)\.(png|apng|bmp|gif|ico|cur|jpg|jpeg|jfif|pjp|pjpeg|svg|tif|tiff|webp|xbm|3gp|aac|flac|mpg|mpeg|mp3|mp4|m4a|m4v|m4p|oga|ogg|ogv|mov|wav|webm|eot|woff|woff2|ttf|otf|css)(?:\?|#|$)"
 MIME = r"^[a-zA-Z][a-zA-Z0-9.+-]*/[a-zA-Z0-9.+-]+$"
 DATE = r"^\d{1,2}/\d{1,2}/\d{2,4}$"
-SITEMAPS = (
-    "/robots.txt /sitemap.xml /sitemap_news.xml /sitemap_index.xml /sitemap-index.xml /sitemapindex.xml "
-    "/sitemap-news.xml /post-sitemap.xml /page-sitemap.xml /portfolio-sitemap.xml /home_slider-sitemap.xml "
-    "/category-sitemap.xml /author-sitemap.xml"
-).split()
+# Where robots and sitemap files are looked for.
+SITEMAPS = [
+    "/robots.txt",
+    "/sitemap.xml",
+    "/sitemap_news.xml",
+    "/sitemap_index.xml",
+    "/sitemap-index.xml",
+    "/sitemapindex.xml",
+    "/sitemap-news.xml",
+    "/post-sitemap.xml",
+    "/page-sitemap.xml",
+    "/portfolio-sitemap.xml",
+    "/home_slider-sitemap.xml",
+    "/category-sitemap.xml",
+    "/author-sitemap.xml",
+]
 
 
 def _q(text: str) -> str:
@@ -106,7 +117,7 @@ APEX_SEEDS = f"""SELECT min(page_id) AS seed_id, 'https://' || apex AS seed_url,
 
 def _links(src: str = "rich", skip: str = "FALSE") -> str:
     """Quoted and tag links of ``src`` as resolved rows, before seeds and scope."""
-    body = _decode("CASE WHEN strlen(d) > 1000000 THEN replace(replace(d, ';', ';\r\n'), ',', ',\r\n') ELSE d END")
+    body = _decode("d")
     bare = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
     bare = f"regexp_replace({bare}, '(?is)(<(?:script|style|title)[^>]*>).*?</(?:script|style|title)', '\\1', 'g')"
     value = r"""trim(regexp_extract(tag, '(?i)\s(?:href|src)=("[^"]*"|''[^'']*''|[^\s>]+)', 1), '"''')"""
@@ -114,7 +125,7 @@ def _links(src: str = "rich", skip: str = "FALSE") -> str:
   dec AS (SELECT *, {_decode('html')} AS d FROM {src}),
   q0 AS (SELECT page_id, url, host, apex, unnest(list_distinct(list_transform(
       regexp_extract_all({body}, {_q(LINK)}, 1), lambda t: regexp_replace(trim(t), '[\\t\\r\\n]+', ' ', 'g')))) AS token
-      FROM dec WHERE strlen(html) <= 4194304 AND NOT ({skip})),
+      FROM dec WHERE NOT ({skip})),
   q1 AS (SELECT *, regexp_matches(token, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') AS is_abs,
       {_printed(_absolute('url', 'token'))} AS link FROM q0 WHERE NOT {_noise('token')}),
   quoted AS (SELECT *, {_canonical('link')} AS canon, regexp_extract({_canonical('link')}, '^[a-z]+://[^/?#]*[^?#]*?(\\.[^./?#]*)(?:\\?.*)?$', 1) AS ext
@@ -147,7 +158,7 @@ def _findings(seeds: str = HOST_SEEDS, src: str = "rich", skip: str = "FALSE", o
   pg AS (SELECT s.seed_id, s.seed_url AS input, s.apex AS sapex, s.scope, x.* FROM dec x JOIN seeds s ON {on}),
   rows0 AS (
     SELECT seed_id, input, 'url' AS kind, 'body' AS source, 'url' AS type, url AS output, 200 AS status,
-      CASE WHEN strlen(html) <= 4194304 THEN strlen(d) ELSE strlen(html) END AS length, 'url' AS set_name,
+      strlen(d) AS length, 'url' AS set_name,
       page_id || '' AS key, 0 AS phase, page_id, FALSE AS in_scope FROM pg WHERE NOT ({skip})
     UNION ALL
     SELECT seed_id, input, kind, CASE WHEN kind = 'javascript' AND type = 'linkfinder' THEN 'html' ELSE source END, type, canon, 0, 0,
@@ -161,11 +172,11 @@ def _findings(seeds: str = HOST_SEEDS, src: str = "rich", skip: str = "FALSE", o
     SELECT seed_id, input, 'subdomains', 'body', 'subdomain', o, 0, 0, 'sub', lower(o), 0, page_id, FALSE FROM (
       SELECT seed_id, input, page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(m), '^(20|25|2b|2f|3d|3a|40)+', ''), '^-+', ''), '-+$', ''), '^\\.(.)', '\\1') AS o FROM (
         SELECT s.seed_id, s.input, s.page_id, unnest(regexp_extract_all(s.d, {_q(LABELS)} || replace(s.sapex, '.', '[.]'))) AS m
-        FROM pg s WHERE regexp_matches(s.url, s.scope) AND strlen(s.html) <= 4194304 AND NOT ({skip})))
+        FROM pg s WHERE regexp_matches(s.url, s.scope) AND NOT ({skip})))
     UNION ALL
     SELECT seed_id, input, 'aws', 'body', 'aws', {_decode('m')}, 0, 0, 'aws', lower({_decode('m')}), 0, page_id, FALSE FROM (
       SELECT seed_id, input, page_id, unnest(regexp_extract_all(d, {_q(BUCKET)})) AS m FROM pg
-      WHERE regexp_matches(url, scope) AND strlen(html) <= 4194304 AND NOT ({skip}))),
+      WHERE regexp_matches(url, scope) AND NOT ({skip}))),
   found AS (SELECT seed_id, input, kind, source, type, output, CAST(status AS INT) AS status, CAST(length AS INT) AS length,
       set_name, key, page_id, in_scope FROM (
       SELECT *, row_number() OVER (PARTITION BY seed_id, set_name, key ORDER BY phase, page_id, source, output) AS rn FROM rows0) WHERE rn = 1)
@@ -183,7 +194,7 @@ BASE_LINKS = BASE + "," + _links()
 PLAIN_LINKS = BASE + "," + _links("p")
 TARGETS = "tgt AS (SELECT seed_id, CASE WHEN seed_id % 2 = 0 THEN host ELSE seed_url END AS raw, host, apex, seed_url FROM seeds)"
 LISTING = """last AS (SELECT apex, max(page_id // 20) AS last FROM p GROUP BY apex),
- pagedp AS (SELECT p.apex AS domain, CAST(page_id // 20 AS INT) AS page, url FROM p JOIN last USING (apex) WHERE page_id // 20 < 10)"""
+ pagedp AS (SELECT p.apex AS domain, CAST(page_id // 20 AS INT) AS page, url FROM p JOIN last USING (apex))"""
 ARCHIVE = f"""{BASE}, {LISTING}, arch AS (SELECT DISTINCT a.seed_id, u.url FROM apexes a JOIN (
   SELECT apex AS domain, url FROM p UNION ALL SELECT apex, url FROM p WHERE page_id % 13 <> 0
   UNION ALL SELECT apex, url FROM p WHERE (page_id // 100) % 5 <> 4 UNION ALL SELECT domain, url FROM pagedp) u ON u.domain = a.apex)"""
@@ -200,8 +211,9 @@ CRAWL = f"""WITH RECURSIVE {BASE[5:]}, {CHAIN}, {_links("p")[1:]},
    SELECT w.seed_id, w.scope, e.dst, CASE WHEN e.tag THEN w.depth + 1 ELSE 1 END, w.round + 1
    FROM walk w JOIN (SELECT src, dst, FALSE AS tag FROM quoted_graph UNION ALL
      SELECT src, dst, TRUE FROM tag_graph t WHERE NOT EXISTS (SELECT 1 FROM quoted_graph q WHERE q.src = t.src AND q.dst = t.dst)) e ON e.src = w.url
-   WHERE regexp_matches(e.dst, w.scope) AND (NOT e.tag OR w.depth < {Q.CRAWL_DEPTH}) AND w.round < 60),
+   WHERE regexp_matches(e.dst, w.scope) AND (NOT e.tag OR w.depth < {Q.CRAWL_DEPTH}) AND w.round <= (SELECT max(n) FROM (SELECT count(*) AS n FROM firsts GROUP BY host))),
  reached AS (SELECT seed_id, url, min(round) AS round, arg_min(depth, round * 1000 + depth) AS depth FROM walk GROUP BY seed_id, url)"""
+UNLIMITED = CRAWL.replace(f"(NOT e.tag OR w.depth < {Q.CRAWL_DEPTH})", "TRUE")
 
 ORACLES = {
     "load_targets": f"{BASE}, {TARGETS} SELECT seed_id, raw FROM tgt UNION ALL SELECT seed_id, seed_url FROM seeds",
@@ -263,7 +275,7 @@ ORACLES = {
         WHEN a.page_id % 4 = 1 THEN a.url ELSE b.url END AS target_url FROM p a LEFT JOIN p b ON b.page_id = a.page_id + 3)
       SELECT page_id, base_host, target_url FROM r WHERE target_url IS NOT NULL AND (regexp_extract(target_url, '^https?://([^/?#:]+)', 1) = base_host
         OR (page_id % 8 = 0 AND ends_with(regexp_extract(target_url, '^https?://([^/?#:]+)', 1), '.' || base_host)))""",
-    "in_scope_pages": f"{BASE} SELECT s.seed_id, page_id, url FROM p JOIN seeds s USING (host) WHERE regexp_matches(url, scope) AND strlen(html) <= 4194304",
+    "in_scope_pages": f"{BASE} SELECT s.seed_id, page_id, url FROM p JOIN seeds s USING (host) WHERE regexp_matches(url, scope)",
     "href_links": f"{TAG_ONLY} SELECT seed_id, output, page_id FROM found WHERE kind = 'href'",
     "script_assets": f"{TAG_ONLY} SELECT seed_id, output, in_scope AS crawlable FROM found WHERE kind = 'javascript'",
     "form_pages": f"{FOUND} SELECT seed_id, output FROM found WHERE kind = 'form'",
@@ -282,7 +294,7 @@ ORACLES = {
     "unminified_variants": f"{FOUND} SELECT seed_id, replace(output, '.min.js', '.js') AS url FROM found WHERE kind = 'javascript' AND in_scope AND contains(output, '.min.js')",
     "subdomains": f"{FOUND_APEX} SELECT seed_id, output, page_id FROM found WHERE kind = 'subdomains'",
     "s3_buckets": f"{FOUND_APEX} SELECT seed_id, output FROM found WHERE kind = 'aws'",
-    "url_findings": f"""{BASE} SELECT s.seed_id, page_id, url AS output, status, CAST(CASE WHEN strlen(html) <= 4194304 THEN strlen({_decode('html')}) ELSE strlen(html) END AS INT) AS length
+    "url_findings": f"""{BASE} SELECT s.seed_id, page_id, url AS output, status, CAST(CASE WHEN status = 200 THEN strlen({_decode('html')}) ELSE strlen(html) END AS INT) AS length
       FROM meta JOIN seeds s USING (host) WHERE status IN (200, 403)""",
     "link_edges": f"{BASE_LINKS} SELECT page_id, url AS src, canon AS dst, kind, phase FROM links",
     "seen_dedup": f"{FOUND} SELECT seed_id, CASE kind WHEN 'form' THEN 'form' WHEN 'upload-form' THEN 'upload-form' ELSE set_name END AS set_name, key, kind, page_id FROM found WHERE kind NOT IN ('url', 'subdomains', 'aws')",
@@ -299,11 +311,12 @@ ORACLES = {
     "frontier_fetch": f"{BASE}, {CHAIN} SELECT f.canonical, f.page_id FROM firsts f WHERE canonical IN (SELECT dst FROM chain)",
     "all_findings": f"{FOUND} SELECT seed_id, kind, input, source, type, output, status, length FROM found",
     "crawl_frontier": f"{CRAWL} SELECT seed_id, f.page_id, url, CAST(depth AS INT) AS depth FROM reached r JOIN firsts f ON f.canonical = r.url",
+    "crawl_unlimited": f"{UNLIMITED} SELECT seed_id, f.page_id, url FROM reached r JOIN firsts f ON f.canonical = r.url",
     "crawl_depths": f"{CRAWL} SELECT seed_id, lower(url) AS url_key, CAST(min(round) AS INT) AS round FROM reached GROUP BY 1, 2",
     "multi_seed_findings": f"""SELECT * FROM ({FOUND} SELECT seed_id, kind, count(*) AS findings FROM found GROUP BY 1, 2)
       UNION ALL SELECT * FROM ({FOUND_APEX} SELECT -seed_id - 1, kind, count(*) FROM found GROUP BY 1, 2)""",
     "render_candidates": f"""{BASE}, c AS (SELECT seed_id, seed_url AS url, 0 AS g, -1 AS page_id FROM seeds UNION ALL
-        SELECT s.seed_id, url, 1, page_id FROM meta JOIN seeds s USING (host) WHERE content_type = 'text/html' AND strlen(html) < 61440 AND regexp_matches(url, scope)),
+        SELECT s.seed_id, url, 1, page_id FROM meta JOIN seeds s USING (host) WHERE status = 200 AND content_type = 'text/html' AND strlen(html) < 61440 AND regexp_matches(url, scope)),
       f AS (SELECT seed_id, arg_min(url, g * 1000000000 + page_id) AS url, min(g * 1000000000 + page_id) AS o FROM c GROUP BY seed_id, lower(url)),
       r AS (SELECT seed_id, url, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY o) AS INT) AS pick FROM f) SELECT seed_id, url, pick FROM r WHERE pick <= 6""",
     "blocked_resources": f"""{BASE} SELECT s.seed_id, page_id, CASE page_id % 6 WHEN 0 THEN 'XHR' WHEN 1 THEN 'Fetch' ELSE 'Script' END AS resource_type,

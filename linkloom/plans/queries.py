@@ -433,17 +433,21 @@ def all_findings(spark, folder):
 # Iteration
 
 
-def _crawl(spark, folder) -> DataFrame:
+def _crawl(spark, folder, depth=CRAWL_DEPTH) -> DataFrame:
     pages = _pages(spark, folder)
     graph = frontier.page_graph(pages).unionByName(fixtures.chain_graph(pages))
     seeds = discovery.seed_columns(_host_seeds(pages))
-    return frontier.crawl(graph, frontier.distinct_pages(pages), seeds, CRAWL_DEPTH)
+    return frontier.crawl(graph, frontier.distinct_pages(pages), seeds, depth)
 
 
 def crawl_frontier(spark, folder):
     return frontier.fetched(_crawl(spark, folder)).select("seed_id", "page_id", "url", "depth")
 
 
+def crawl_unlimited(spark, folder):
+    return frontier.fetched(_crawl(spark, folder, 0)).select("seed_id", "page_id", "url")
+
+
 def crawl_depths(spark, folder):
     key = dedup.seen_key(F.col("url")).alias("url_key")
     return _crawl(spark, folder).groupBy("seed_id", key).agg(F.min("round").alias("round"))
@@ -461,7 +465,7 @@ def render_candidates(spark, folder):
     pages = _pages(spark, folder)
     seeds = _host_seeds(pages)
     rows = fixtures.pages_meta(pages).withColumn("host", urls.url_host(F.col("url")))
-    rows = rows.select("page_id", "url", "host", "content_type", F.octet_length("html").alias("raw_length"))
+    rows = rows.select("page_id", "url", "host", "status", "content_type", F.octet_length("html").alias("raw_length"))
     rows = scope.attach_seeds(rows, seeds).where(scope.in_scope(F.col("url")))
     return frontier.render_candidates(rows, seeds)
 
@@ -521,26 +525,26 @@ def findings_summary(spark, folder):
 
 def stream_findings(spark, folder):
     seeds = _host_seeds(_pages(spark, folder))
-    out = streams.run_discovery(spark, folder, "pages.parquet", seeds, fixtures.pages_rich)
+    out = streams.run_discovery(spark, f"{folder}/pages.parquet", seeds, fixtures.pages_rich)
     return out.select("seed_id", "kind", "page_id", "output").distinct()
 
 
 def stream_dedup(spark, folder):
     seeds = _host_seeds(_pages(spark, folder))
-    out = streams.run_dedup(spark, folder, "pages.parquet", seeds, fixtures.pages_rich)
+    out = streams.run_dedup(spark, f"{folder}/pages.parquet", seeds, fixtures.pages_rich)
     return out.select("seed_id", "set_name", "key")
 
 
 def stream_sink(spark, folder):
     seeds = _host_seeds(_pages(spark, folder))
-    out = streams.run_host_sink(spark, folder, "pages.parquet", seeds, fixtures.pages_rich)
+    out = streams.run_host_sink(spark, f"{folder}/pages.parquet", seeds, fixtures.pages_rich)
     return out.groupBy("host_key").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def stream_frontier(spark, folder):
     pages = _pages(spark, folder)
     out = streams.run_frontier(
-        spark, folder, "pages.parquet", _host_seeds(pages), _visited(pages), fixtures.pages_rich
+        spark, f"{folder}/pages.parquet", _host_seeds(pages), _visited(pages), fixtures.pages_rich
     )
     return out.select("seed_id", "url")
 
@@ -557,7 +561,7 @@ unminified_variants subdomains s3_buckets url_findings link_edges
 seen_dedup exact_unique kind_precedence canonical_dedup
 new_frontier registrable_domain pages_by_seed frontier_fetch
 all_findings
-crawl_frontier crawl_depths multi_seed_findings render_candidates blocked_resources
+crawl_frontier crawl_unlimited crawl_depths multi_seed_findings render_candidates blocked_resources
 broken_links status_report js_inventory bundle_fingerprint historical_endpoints admin_forms subdomain_enum
 findings_summary
 stream_findings stream_dedup stream_sink stream_frontier

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions import patterns, text, urls
@@ -10,8 +9,6 @@ from ..operators.dedup import first_seen
 from ..operators.joins import lookup_join
 from ..operators.scope import in_scope
 
-MAX_LISTING_PAGES = 10  # fixed value: pages of a paged listing that are read
-
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema.PAGES).parquet(f"{folder}/pages.parquet")
@@ -57,22 +54,22 @@ def report_urls(payloads: DataFrame) -> DataFrame:
     return entries.select("domain", F.col("e.url").alias("url")).where("url <> ''")
 
 
-def paged_urls(payloads: DataFrame) -> DataFrame:
+def paged_urls(payloads: DataFrame, max_pages: int | None = None) -> DataFrame:
     """URLs of listings read page by page.
 
-    A domain's pages count up to the first without ``has_next``, ten at most; one
-    unreadable page among them voids the domain. At most ten rows reach a window.
+    A domain's pages count up to the first without ``has_next``; one unreadable page
+    among them voids the domain. Where each listing ends is a minimum per domain, so
+    a domain with very many pages sends one row per task. ``max_pages`` stops earlier.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    pages = payloads.where(F.col("page") < MAX_LISTING_PAGES)
+    pages = payloads if max_pages is None else payloads.where(F.col("page") < max_pages)
     pages = pages.select("domain", "page", F.from_json("payload", schema.PAGED, options).alias("j"))
-    pages = pages.withColumn("bad", F.col("j").isNull() | F.col("j._bad").isNotNull())
-    before = Window.partitionBy("domain").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    more = F.min(F.coalesce(F.col("j.has_next"), F.lit(False)) & ~F.col("bad")).over(before)
-    pages = pages.withColumn("consumed", F.coalesce(more, F.lit(True))).where("consumed")
-    void = F.max("bad").over(Window.partitionBy("domain"))
-    pages = pages.withColumn("void", void).where("not void")
-    entries = pages.select("domain", "page", F.explode("j.url_list").alias("e"))
+    bad = F.col("j").isNull() | F.col("j._bad").isNotNull()
+    more = F.coalesce(F.col("j.has_next"), F.lit(False)) & ~bad
+    ends = pages.groupBy("domain").agg(F.min(F.when(~more, F.col("page"))).alias("last"), F.min(F.when(bad, F.col("page"))).alias("broken"))
+    ends = ends.where("broken is null or broken > last").select("domain", "last")
+    read = lookup_join(pages, ends, "domain").where("last is null or page <= last")
+    entries = read.select("domain", "page", F.explode("j.url_list").alias("e"))
     return entries.select("domain", "page", F.col("e.url").alias("url")).where("url <> ''")
 
 
@@ -129,14 +126,17 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
 def sitemap_index_urls(files: DataFrame) -> DataFrame:
     """Locations behind sitemap indexes, one level deep.
 
-    A file with locations of its own is not an index. Each index entry is looked
-    up among the stored files by URL.
+    A file with locations of its own is not an index. Each index entry is looked up among the
+    stored files by URL; a file stored more than once is read once. Files are parsed where they
+    are read, so only narrow rows are joined.
     """
     parsed = _sitemap(files)
     indexes = parsed.where("size(doc.url) <= 0 or doc.url is null")
     wanted = _locations(indexes.select("seed_id", "doc"), "sitemap").select("seed_id", F.col("url").alias("file_url"))
-    nested = files.select(F.col("url").alias("file_url"), "xml")
-    return sitemap_urls(wanted.join(nested, "file_url").select("seed_id", "xml"))
+    held = parsed.select(F.col("url").alias("file_url"), F.xxhash64("xml").alias("copy"), F.col("doc.url.loc").alias("locs"))
+    first = first_seen(held, ["file_url"], ["copy"]).select("file_url", F.explode("locs").alias("loc"))
+    found = lookup_join(first, wanted, "file_url").select("seed_id", text.trimmed(F.col("loc")).alias("url"))
+    return found.where("url <> ''")
 
 
 def wellknown_candidates(seeds: DataFrame) -> DataFrame:

@@ -20,12 +20,14 @@ from ..session import scratch_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def page_stream(
-    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 1000
-) -> DataFrame:
-    """Pages arriving as Parquet files under ``folder``."""
-    reader = spark.readStream.schema(schema.PAGES).option("pathGlobFilter", pattern)
-    return reader.option("maxFilesPerTrigger", str(files_per_batch)).parquet(folder)
+def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Pages arriving as Parquet files under ``path``, which may also be one such file."""
+    reader = spark.readStream.schema(schema.PAGES).option("maxFilesPerTrigger", str(files_per_batch))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # A stream reads folders: the file is the one of its folder that has its name.
+        reader, path = reader.option("pathGlobFilter", place.getName()), place.getParent().toString()
+    return reader.parquet(path)
 
 
 def stream_findings(pages: DataFrame, seeds: DataFrame, **options) -> DataFrame:
@@ -40,11 +42,12 @@ def stream_dedup(found: DataFrame, event_time: str | None = None, delay: str = "
     return found.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(FINDING_KEYS)
 
 
-def _finish(writer, spark: SparkSession, name: str) -> None:
+def _finish(writer, spark: SparkSession, place: str) -> None:
+    """Run to the end of what has arrived. Progress lies beside the output, so a later run goes on from there."""
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        query = writer.option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
+        query = writer.option("checkpointLocation", f"{place}/progress")
         query.trigger(availableNow=True).start().awaitTermination()
     finally:
         if provider is None:
@@ -54,61 +57,62 @@ def _finish(writer, spark: SparkSession, name: str) -> None:
 
 
 def run_discovery(
-    spark: SparkSession, folder: str, pattern: str, seeds: DataFrame, prepare: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, path: str, seeds: DataFrame, prepare: Callable[[DataFrame], DataFrame], place: str | None = None, **arrival
 ) -> DataFrame:
     """Append the findings of every page file to a table and return the table."""
-    found = stream_findings(prepare(page_stream(spark, folder, pattern)), seeds)
-    path = scratch_path(spark, "findings")
-    _finish(found.writeStream.format("parquet").option("path", path), spark, "findings")
-    return spark.read.schema(found.schema).parquet(path)
+    found = stream_findings(prepare(page_stream(spark, path, **arrival)), seeds)
+    place = place or scratch_path(spark, "findings")
+    _finish(found.writeStream.format("parquet").option("path", f"{place}/rows"), spark, place)
+    return spark.read.schema(found.schema).parquet(f"{place}/rows")
 
 
 def run_dedup(
-    spark: SparkSession, folder: str, pattern: str, seeds: DataFrame, prepare: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, path: str, seeds: DataFrame, prepare: Callable[[DataFrame], DataFrame], place: str | None = None, **arrival
 ) -> DataFrame:
     """As :func:`run_discovery`, each key once over the whole stream."""
-    found = stream_dedup(stream_findings(prepare(page_stream(spark, folder, pattern)), seeds))
-    path = scratch_path(spark, "distinct")
-    _finish(found.writeStream.format("parquet").option("path", path), spark, "distinct")
-    return spark.read.schema(found.schema).parquet(path)
+    found = stream_dedup(stream_findings(prepare(page_stream(spark, path, **arrival)), seeds))
+    place = place or scratch_path(spark, "distinct")
+    _finish(found.writeStream.format("parquet").option("path", f"{place}/rows"), spark, place)
+    return spark.read.schema(found.schema).parquet(f"{place}/rows")
 
 
 def run_host_sink(
-    spark: SparkSession, folder: str, pattern: str, seeds: DataFrame, prepare: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, path: str, seeds: DataFrame, prepare: Callable[[DataFrame], DataFrame], place: str | None = None, **arrival
 ) -> DataFrame:
     """Text lines per seed host. A batch owns its folder, so a replayed batch replaces itself."""
-    path = scratch_path(spark, "lines")
+    place = place or scratch_path(spark, "lines")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         lines = sinks.formatted(batch)
         lines = lines.withColumn("host_key", sinks.host_key(urls.url_host(F.col("input"))))
-        sinks.write_by_host(lines, f"{path}/batch_id={batch_id}", "overwrite")
+        sinks.write_by_host(lines, f"{place}/rows/batch_id={batch_id}", "overwrite")
 
-    found = stream_dedup(stream_findings(prepare(page_stream(spark, folder, pattern)), seeds))
-    _finish(found.writeStream.foreachBatch(write), spark, "lines")
-    return spark.read.schema("line string, batch_id int, host_key string").text(path)
+    found = stream_dedup(stream_findings(prepare(page_stream(spark, path, **arrival)), seeds))
+    _finish(found.writeStream.foreachBatch(write), spark, place)
+    return spark.read.schema("line string, batch_id int, host_key string").text(f"{place}/rows")
 
 
 def run_frontier(
     spark: SparkSession,
-    folder: str,
-    pattern: str,
+    path: str,
     seeds: DataFrame,
     visited: DataFrame,
     prepare: Callable[[DataFrame], DataFrame],
+    place: str | None = None,
+    **arrival,
 ) -> DataFrame:
     """URLs for a fetcher: links of each batch that are in no visited page and no earlier batch."""
-    path = scratch_path(spark, "frontier")
+    place = place or scratch_path(spark, "frontier")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         links = findings(prepare(batch), seeds, scans=("quoted", "tag")).where("set_name = 'link'")
         links = links.select("seed_id", F.col("output").alias("url"), F.lower("output").alias("key"))
         fresh = links.join(visited.select("seed_id", "url").distinct(), ["seed_id", "url"], "left_anti")
         if batch_id:
-            earlier = spark.read.schema("seed_id long, url string, key string, batch_id int").parquet(path)
+            earlier = spark.read.schema("seed_id long, url string, key string, batch_id int").parquet(f"{place}/rows")
             earlier = earlier.where(F.col("batch_id") < batch_id).select("seed_id", "key").distinct()
             fresh = fresh.join(earlier, ["seed_id", "key"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{place}/rows/batch_id={batch_id}")
 
-    _finish(page_stream(spark, folder, pattern).writeStream.foreachBatch(write), spark, "frontier")
-    return spark.read.schema("seed_id long, url string, key string, batch_id int").parquet(path)
+    _finish(page_stream(spark, path, **arrival).writeStream.foreachBatch(write), spark, place)
+    return spark.read.schema("seed_id long, url string, key string, batch_id int").parquet(f"{place}/rows")

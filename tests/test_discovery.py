@@ -104,7 +104,7 @@ def test_salted_join_equals_the_broadcast_join(spark):
         assert a == b
 
 
-def test_statuses_lengths_and_the_size_cap(spark, seeds):
+def test_statuses_lengths_and_large_bodies(spark, seeds):
     big = "x" * (5 * 1024 * 1024) + '"/late/link"'
     rows = pages_of(spark, *[(f"https://h.com/{n}", f'"/q/{n}"<a href=/t{n}>') for n in range(5)], ("https://h.com/big", big))
     statuses = F.element_at(F.array(*[F.lit(s) for s in (200, 403, 404, 500, 200, 200)]), (F.col("page_id") + 1).cast("int"))
@@ -114,10 +114,39 @@ def test_statuses_lengths_and_the_size_cap(spark, seeds):
     assert shown == {
         ("https://h.com/0", 200, 18), ("https://h.com/1", 403, 18), ("https://h.com/4", 200, 18), ("https://h.com/big", 200, len(big))
     }
+    late = ("linkfinder", "https://h.com/late/link")
     links = [("href", f"https://h.com/t{n}") for n in (0, 4)]
-    assert outputs(found.where("kind <> 'url'")) == sorted([*links, ("linkfinder", "https://h.com/q/0"), ("linkfinder", "https://h.com/q/4")])
+    assert outputs(found.where("kind <> 'url'")) == sorted([*links, late, ("linkfinder", "https://h.com/q/0"), ("linkfinder", "https://h.com/q/4")])
     skipped = discovery.findings(pages, seeds("https://h.com/"), skip_lengths=(18,))
-    assert outputs(skipped) == sorted([*links, ("url", "https://h.com/big")])
+    assert outputs(skipped) == sorted([*links, late, ("url", "https://h.com/1"), ("url", "https://h.com/big")])
+    raw = pages_of(spark, ("https://h.com/a", "a%2Fb%2Fc")).withColumn("status", F.lit(403)).withColumn("content_type", F.lit("text/html"))
+    error = discovery.findings(raw, seeds("https://h.com/"), skip_lengths=(9, 5)).collect()
+    assert [(r.kind, r.length) for r in error] == [("url", 9)]
+
+
+def test_bodies_are_scanned_once_for_any_number_of_seeds(spark, seeds):
+    pages = pages_of(spark, *[(f"https://h.com/{n}", f'"/q/{n}"') for n in range(4)])
+    found = discovery.findings(pages, seeds(*[f"https://h.com/s{n}" for n in range(6)]), scans=("quoted",))
+    assert outputs(found) == sorted(("linkfinder", f"https://h.com/q/{n}") for n in range(4) for _ in range(6))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in "".join(line for line in plan.splitlines() if "Join" in line or "Exchange" in line)
+
+
+def test_sitemaps_stored_twice_count_once(spark):
+    index = "<sitemapindex><sitemap><loc>https://h.com/a.xml</loc></sitemap></sitemapindex>"
+    file = "<urlset><url><loc>https://h.com/x</loc></url></urlset>"
+    rows = [(1, "https://h.com/i.xml", index), (1, "https://h.com/a.xml", file), (1, "https://h.com/a.xml", file)]
+    found = ingest.sitemap_index_urls(spark.createDataFrame(rows, "seed_id long, url string, xml string"))
+    assert [tuple(r) for r in found.collect()] == [(1, "https://h.com/x")]
+
+
+def test_listings_are_read_to_their_end(spark):
+    page = lambda n, more: '{"has_next": %s, "url_list": [{"url": "https://h.com/%d"}]}' % ("true" if more else "false", n)
+    rows = [("long", n, page(n, n < 29)) for n in range(40)] + [("bad", 0, page(0, True)), ("bad", 1, "{"), ("fine", 0, page(0, False)), ("fine", 1, "{")]
+    payloads = spark.createDataFrame(rows, "domain string, page int, payload string")
+    found = sorted((r.domain, r.page) for r in ingest.paged_urls(payloads).collect())
+    assert found == [("fine", 0)] + [("long", n) for n in range(30)]
+    assert ingest.paged_urls(payloads, max_pages=10).where("domain = 'long'").count() == 10
 
 
 def test_targets_and_domains(spark, seeds):
@@ -155,7 +184,7 @@ def test_archive_payloads(spark):
     paged += [("ends", 0, page % ("true", "e0")), ("ends", 1, page % ("false", "e1")), ("ends", 2, page % ("true", "e2"))]
     paged += [("void", 0, page % ("true", "v0")), ("void", 1, "not json"), ("late", 0, page % ("false", "l0")), ("late", 1, "not json")]
     got = ingest.paged_urls(spark.createDataFrame(paged, "domain string, page int, payload string"))
-    assert sorted(r.url for r in got.collect()) == sorted([f"a{n}" for n in range(10)] + ["e0", "e1", "l0"])
+    assert sorted(r.url for r in got.collect()) == sorted([f"a{n}" for n in range(12)] + ["e0", "e1", "l0"])
 
 
 def test_robots_and_sitemaps(spark, seeds):
@@ -203,8 +232,9 @@ def test_chain_graph_is_what_chained_pages_link(spark):
 
 
 def test_render_pick(spark, seeds):
-    rows = [(n, f"https://h.com/{n}", "text/html", 100) for n in range(10)] + [(10, "https://h.com/s", "text/html", 5)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, content_type string, raw_length int").withColumn("seed_id", F.lit(0).cast("long"))
+    rows = [(n, f"https://h.com/{n}", "text/html", 100, 200) for n in range(10)] + [(10, "https://h.com/s", "text/html", 5, 200)]
+    rows += [(-1, "https://h.com/gone", "text/html", 100, 404)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, content_type string, raw_length int, status int").withColumn("seed_id", F.lit(0).cast("long"))
     picked = frontier.render_candidates(pages, seeds("https://h.com/s")).orderBy("pick").collect()
     assert [r.url for r in picked] == ["https://h.com/s"] + [f"https://h.com/{n}" for n in range(5)]
 
