@@ -38,7 +38,6 @@ PADDING = b"\0" * 160
 #: Bytes that make one language e times as likely as another, for the score.
 TEMPERATURE = 6.0
 
-LETTER = re.compile(r"[^\W\d_]")
 NO_WORD = re.compile(r"[\W\d_]+")
 
 
@@ -78,7 +77,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, whether the margin is too narrow to trust."""
-        if not text or not self.coders or not LETTER.search(text):
+        if not text or not self.coders or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         whole = normal(text)
         pieces = [whole[i : i + PIECE_CHARS].encode() for i in range(0, len(whole), PIECE_CHARS)]

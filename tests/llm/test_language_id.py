@@ -27,7 +27,7 @@ def held(i):
 
 def test_held_out_accuracy_and_odd_rows(spark, folder_of, rng):
     rows = documents(rng)
-    rows += [(900, None, "aa", "s", "x"), (901, "", None, "s", "x"), (902, "123 --- 456", "bb", "s", "x"), (903, " ".join(WORDS["bb"] * 20000), None, None, "x"), rows[3]]
+    rows += [(900, None, "aa", "s", "x"), (901, "", None, "s", "x"), (902, "123 ½ ² --- 456", "bb", "s", "x"), (903, " ".join(WORDS["bb"] * 20000), None, None, "x"), rows[3]]
     out = L.op5_language_id(spark, folder_of("documents", rows, SCHEMA)).collect()
     assert len(out) == len(rows)
     truth = {r[0]: r[2] for r in rows}
