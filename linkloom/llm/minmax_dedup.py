@@ -2,11 +2,10 @@
 
 A document's shingles are hashed once under each permutation; both the least and the greatest value are
 kept, so half as many permutations fill a signature. Bands of the signature name buckets. Documents with
-equal sets are one class from the start. In each bucket one class, the centre, is compared with the
-others; confirmed links give components. Only buckets that still hold several components go on, with
-members of the smallest components as further centres, twice as many each round, until all classes of
-different components that share a bucket have been compared. No bucket ever gives all its pairs unless
-its members really are apart.
+equal sets are one class from the start. In each bucket the class with the smallest id is compared with the
+others; confirmed links give components. The buckets that then still hold several components are compared
+in full, in blocks of bounded size, inside of tasks: no rows of pairs are made, and what is in one
+component already is not compared again.
 
 * Words are runs of anything but space and control white space; A-Z count as a-z. Fewer words than a
   shingle has are one shingle. Without words a document has no shingle and is its own component.
@@ -21,8 +20,9 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import stored, table, text_buffers
@@ -36,6 +36,9 @@ BAND = 5
 #: Bytes that are hashed at a time, and sets that a task remembers while it confirms links.
 SEGMENT = 1 << 21
 REMEMBERED = 1000
+#: Members of one block of a bucket on average, and shingles that are multiplied out at a time.
+BLOCK = 256
+COLUMNS = 8192
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -200,10 +203,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs of a centre with the members of its bucket that lie in other components, once each."""
-    met = members.join(centres.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")), "bucket").where("root <> centre_root")
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _compared(size: int, percent: int):
+    """Links between members of different components in one block of a bucket, or between two blocks."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = list(sets_of(pa.array(rows["text"], pa.string()), size))
+        lengths = np.array([len(s) for s in sets], np.float32)
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), lengths.astype(int))
+        shared = held[column] > 1  # a shingle that one member holds is in no intersection
+        number = np.cumsum(held > 1) - 1
+        row, column = row[shared], number[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            common += part @ part.T
+        block, root, node = (rows[c].to_numpy() for c in ("block", "root", "node"))
+        alike = 100 * common >= percent * (lengths[:, None] + lengths[None, :] - common)
+        alike &= root[:, None] != root[None, :]
+        if rows["one"].iloc[0] != rows["two"].iloc[0]:
+            alike &= block[:, None] != block[None, :]
+        joined: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in joined:
+                r = joined[r]
+            return r
+
+        links = []
+        for i, j in np.argwhere(np.triu(alike, 1)).tolist():
+            x, y = sorted((top(int(root[i])), top(int(root[j]))))
+            if x != y:  # one link is enough to join two components
+                joined[y] = x
+                links.append((node[i], node[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _among(apart: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join components inside a bucket, found without making rows of pairs.
+
+    Members of a bucket are dealt into blocks of about BLOCK, and every two blocks of a bucket meet
+    in one bounded group. Buckets with the same members are looked at once.
+    """
+    held = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node") % 1000003).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    once = held.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = apart.join(once, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", "node", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    rows = met.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    return rows.groupBy("bucket", "one", "two").applyInPandas(_compared(size, percent), "a long, b long")
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their component's root, of the buckets that hold more than one component."""
+    labelled = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    apart = labelled.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+    return stored(labelled.join(apart, "bucket"), "minmax-apart")
 
 
 def classes(docs: DataFrame, size: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -221,24 +282,9 @@ def classes(docs: DataFrame, size: int = WORDS_IN_SHINGLE, percent: int = PERCEN
     pairs = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = stored(confirmed(pairs, texts, size, percent), "minmax-links")
     roots = stored(components(links), "minmax-roots")
-    members = members.where("node <> centre").select("bucket", "node")
-    centres_each = 1
-    while True:
-        labelled = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        apart = labelled.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-        labelled = stored(labelled.join(apart, "bucket"), "minmax-apart")
-        if labelled.isEmpty():
-            break
-        sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("bucket").orderBy("n", "node")
-        centres = labelled.join(sizes, ["bucket", "root"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres_each)
-        centres = stored(centres.select("bucket", "node", "root"), "minmax-centres")
-        more = stored(confirmed(_star(labelled, centres), texts, size, percent), "minmax-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = stored(components(links), "minmax-roots")
-        members = labelled.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node")
-        centres_each *= 2
+    more = stored(_among(_apart(members.where("node <> centre"), roots), texts, size, percent), "minmax-links")
+    if not more.isEmpty():
+        roots = stored(components(links.unionByName(more)), "minmax-roots")
 
     named = nodes.join(roots, "node", "left").select("low", "high", "n_shingles", F.coalesce("root", "node").alias("root"))
     out = rows.drop("bands").join(named, ["low", "high", "n_shingles"], "left")

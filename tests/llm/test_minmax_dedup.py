@@ -54,7 +54,10 @@ def documents(rng):
     return rows + [rows[4], rows[4], (None, rows[4][1], "x", 1)] + [(400000 + i, rows[9][1].upper().replace("É", "é"), "x", 1) for i in range(40)]
 
 
-def test_components_agree_with_brute_force(spark, folder_of, documents):
+@pytest.mark.parametrize("block", [256, 4])
+def test_components_agree_with_brute_force(spark, folder_of, documents, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "COLUMNS", 64)
     out = D.op9_minmax_dedup(spark, folder_of("documents", documents, SCHEMA)).collect()
     assert len(out) == len(documents)
     expected, sizes = plain_components(documents), {i: len(plain_set(t)) for i, t, *_ in documents}
