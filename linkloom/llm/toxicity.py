@@ -37,9 +37,9 @@ TOXIC_BYTES = 6 * 1024
 FOLDS = 4
 
 #: Words of a window, in two sizes; savings in bytes from which windows are counted.
-WINDOW_WORDS = (1, 3)
+WINDOW_WORDS = (1, 6)
 SAVINGS = (1, 2, 3, 4, 5, 6)
-PADDING = b"\0" * 96
+PADDING = b"\0" * 48
 THRESHOLD = 0.7
 #: Both dictionaries are used with the same parameters; by level alone they would follow the dictionary's size.
 PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 15, "search_log": 5, "min_match": 4, "target_length": 8}
