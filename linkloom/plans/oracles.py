@@ -289,6 +289,12 @@ ORACLES = {
         1,
     ).replace("FROM rows0)", "FROM rows0 WHERE phase = 0)")
     + "SELECT seed_id, kind, CASE WHEN kind = 'javascript' THEN 'javascript' ELSE source END AS source, output FROM found WHERE kind IN ('linkfinder', 'javascript')",
+    "asset_quoted_links_whole": _findings(src="scripts").replace(
+        "seeds AS (",
+        """scripts AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/js/' || page_id || '.js' AS url, html, host, apex FROM p), seeds AS (""",
+        1,
+    ).replace("FROM rows0)", "FROM rows0 WHERE phase = 0)")
+    + "SELECT seed_id, kind, CASE WHEN kind = 'javascript' THEN 'javascript' ELSE source END AS source, output FROM found WHERE kind IN ('linkfinder', 'javascript')",
     "asset_feed": f"""{FOUND} SELECT seed_id, type, unnest(CASE WHEN contains(output, '.min.js') THEN [output, replace(output, '.min.js', '.js')] ELSE [output] END) AS url
       FROM found WHERE kind = 'javascript' AND in_scope""",
     "unminified_variants": f"{FOUND} SELECT seed_id, replace(output, '.min.js', '.js') AS url FROM found WHERE kind = 'javascript' AND in_scope AND contains(output, '.min.js')",

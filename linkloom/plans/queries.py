@@ -324,6 +324,16 @@ def asset_quoted_links(spark, folder):
     return _asset_findings(spark, folder).select("seed_id", "kind", "source", "output")
 
 
+def asset_quoted_links_whole(spark, folder):
+    """As asset_quoted_links, with a script for every page, so that every body is scanned."""
+    pages = _pages(spark, folder)
+    seeds = _host_seeds(pages)
+    linked = fixtures.pages_own_script(pages)
+    assets = discovery.findings(linked, seeds, scans=("tag",)).where("kind = 'javascript'")
+    found = discovery.asset_findings(assets, fixtures.page_scripts(pages), seeds, scans=("quoted",))
+    return found.select("seed_id", "kind", "source", "output")
+
+
 def asset_feed(spark, folder):
     found = _rich_findings(spark, folder, scans=("quoted", "tag")).where("kind = 'javascript'")
     return discovery.fetch_targets(found).select("seed_id", "type", F.col("output").alias("url"))
@@ -556,7 +566,7 @@ findings_json findings_text findings_quiet findings_by_host raw_bodies
 scope_filter scope_rules include_filter exclude_filter static_asset_filter kind_filter length_filter body_cap
 error_status_filter asset_status_filter content_type_gate noise_filter absolute_links asset_inventory
 redirect_scope in_scope_pages
-href_links script_assets form_pages upload_form_pages quoted_links asset_quoted_links asset_feed
+href_links script_assets form_pages upload_form_pages quoted_links asset_quoted_links asset_quoted_links_whole asset_feed
 unminified_variants subdomains s3_buckets url_findings link_edges
 seen_dedup exact_unique kind_precedence canonical_dedup
 new_frontier registrable_domain pages_by_seed frontier_fetch

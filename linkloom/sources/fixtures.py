@@ -85,6 +85,19 @@ def script_bodies(pages: DataFrame) -> DataFrame:
     return lookup_join(pages, chosen, "page_id").select("page_id", F.col("script").alias("url"), "html")
 
 
+def page_scripts(pages: DataFrame) -> DataFrame:
+    """Stored scripts: the body of every page as a script of its own."""
+    origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    name = F.concat(origin, F.lit("/js/"), F.col("page_id").cast("string"), F.lit(".js"))
+    return pages.select("page_id", name.alias("url"), "html")
+
+
+def pages_own_script(pages: DataFrame) -> DataFrame:
+    """Pages that link the minified name of their script in :func:`page_scripts`."""
+    link = F.concat(F.lit('<script src="/js/'), F.col("page_id").cast("string"), F.lit('.min.js"></script>'))
+    return pages.withColumn("html", F.concat("html", link))
+
+
 def chain(pages: DataFrame) -> DataFrame:
     """First page per canonical URL with ``next_url``, the following page of its host.
 
