@@ -5,6 +5,11 @@ density, those of the blocks before and after it, and what it lies in: a heading
 containers that by their tag or by a word of their class, id or role hold menus, adverts, notices, forms or
 comments. A decision tree, grown on a small labelled table of pages, tells article blocks from the rest.
 
+A form, or an element marked by a word alone, may be a wrapper around the page. It does not count as such a
+container when it holds the article or main container with the most words. On pages without such a container
+that holds for a form with half of the words, and for what holds all words and a marked part besides; words in
+links and in nav, aside, header, footer and the like are left out. Marked parts inside stay marked.
+
 * Null and empty pages have no text. Scripts, styles, comments, and other parts that browsers don't show
   are no text. Character references are decoded, white space inside a block becomes one space.
 * Broken pages are read as far as they go: tags that are never closed end with the page, an end tag
@@ -49,6 +54,10 @@ SIDE_WORDS = frozenset(
     "popup promo promotion promoted recommended related search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe "
     "subscription toolbar topbar widget alert complementary cookiebar masthead reply replies respond gdpr".split()
 )
+#: Side elements that never wrap a page.
+PART_TAGS = SIDE_TAGS - {"form", "fieldset"}
+#: Class words of what an element has or lacks, as in "has-sidebar": they don't say what it is.
+HAVING = re.compile(r"(?:has|have|no|with|without)[-_]")
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article content entry main post story text body".split())
 
@@ -59,6 +68,16 @@ WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
+@dataclass(eq=False)
+class _Open:
+    tag: str
+    side: bool
+    main: bool
+    hidden: bool
+    link: bool
+    before: dict = field(default_factory=dict)
+
+
 @dataclass
 class Block:
     text: str
@@ -69,16 +88,7 @@ class Block:
     cell: bool
     side: bool  # inside a container that holds no article text by its name
     main: bool
-
-
-@dataclass
-class _Open:
-    tag: str
-    side: bool
-    main: bool
-    hidden: bool
-    link: bool
-    before: dict = field(default_factory=dict)
+    marks: tuple[_Open, ...] = ()  # the open side and main elements, outermost first
 
 
 def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
@@ -87,8 +97,10 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     if "=" in attributes:
         for _, *values in NAMED.findall(attributes):
             for value in values:
-                names.update(WORDS.findall(value.lower()))
-                names.update(value.lower().split())
+                for name in value.lower().split():
+                    if not HAVING.match(name):
+                        names.add(name)
+                        names.update(WORDS.findall(name))
     if tag in ("body", "html"):
         return False, False, False
     main = tag in MAIN_TAGS or bool(names & MAIN_WORDS)
@@ -109,11 +121,10 @@ def blocks(page: str | None) -> list[Block]:
             return
         text = SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
         if text:
-            tags = {o.tag for o in stack}
+            tags, marks = {o.tag for o in stack}, tuple(o for o in stack if o.side or o.main)
             linked = len("".join(p if l else " " for p, l in parts).split())
-            # The innermost marked container that is an article outweighs outer ones; a marked side part inside it does not.
-            side = any(o.side for o in stack)
-            out.append(Block(text, linked, len(text.split()), bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd"}), bool(tags & {"td", "th"}), side, any(o.main for o in stack)))
+            side, main = any(o.side for o in marks), any(o.main for o in marks)
+            out.append(Block(text, linked, len(text.split()), bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd"}), bool(tags & {"td", "th"}), side, main, marks))
         parts.clear()
 
     def text(to: int) -> None:
@@ -166,9 +177,42 @@ def blocks(page: str | None) -> list[Block]:
             at = close.end() if close else end
             stack.pop()
     flush()
+    _unwrap(out)
     return out
 
 
+def _unwrap(found: list[Block]) -> None:
+    """Clear the side mark of blocks that lie in nothing but wrappers of the page."""
+    if not any(b.side for b in found):
+        return
+    own: dict[_Open, int] = {}  # words of each main container outside of side parts of its own
+    above: dict[_Open, tuple[_Open, ...]] = {}
+    held: dict[_Open, int] = {}  # words of each side element that may be a wrapper
+    whole: set[_Open] = set()  # those that hold a side part
+    total = 0
+    for b in found:
+        free = 0 if any(o.side and o.tag in PART_TAGS for o in b.marks) else b.words - b.linked
+        total += free
+        last = max((i for i, o in enumerate(b.marks) if o.side), default=0)
+        whole.update(b.marks[:last])
+        for i in range(len(b.marks) - 1, -1, -1):
+            if b.marks[i].side:
+                break
+            own[b.marks[i]] = own.get(b.marks[i], 0) + b.words
+            above[b.marks[i]] = b.marks[:i]
+        for o in b.marks:
+            if o.side and o.tag not in PART_TAGS:
+                held[o] = held.get(o, 0) + free
+    inside = {o: n for o, n in own.items() if not any(a.side and a.tag in PART_TAGS for a in above[o])}
+    if inside:
+        wrappers = {a for a in above[max(inside, key=lambda o: inside[o])] if a.side}
+    else:
+        wrappers = {o for o, n in held.items() if n == total > 0 and o in whole or o.tag == "form" and 2 * n >= total > 0}
+    if wrappers:
+        for b in found:
+            b.side = any(o.side and o not in wrappers for o in b.marks)
+
+
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "item", "cell", "side", "main", "article_on_page")
 
 
@@ -193,6 +237,8 @@ LABELLED = (
     "<p>Thank you for reading the paper of the valley, which lives from its readers.</p><article><h2>[[Rain]]</h2><p>[[It fell for nine days and the cellars of the lower town were full of water.]]</p><p>[[Then it stopped.]]</p></article><div><p>Write to the editors if you have seen the flood, they want to hear from you.</p></div>",
     "<div><h3>Read next</h3><p>Why the lower town floods so often and what could be done about it.</p></div><main><p>[[Pumps ran through the night.]]</p><p>[[By morning the square was dry and the market opened as on any other day.]]</p></main>",
     "<div class='sidebar'><h3>Latest</h3><ul><li><a href='q'>A new bridge</a></li><li>Weather for the coming week in the whole valley</li></ul></div><div class='post'><h1>[[Old bridges]]</h1><p>[[Stone lasts.]]</p><p>[[Wood does not last, but it is quick to build with and easy to mend in spring.]]</p></div>",
+    "<form id='aspnetForm'><div class='menu'><a href='m'>Menu</a></div><article><h1>[[The last ferry]]</h1><p>[[It leaves at nine, and who comes later has to take the long road around the lake.]]</p></article><div class='comments'><p>I have missed it twice this year and the road is in a bad state.</p></div></form>",
+    "<div class='layout sidebar-left'><div class='sidebar'><p>The most read stories of the week from all parts of the valley.</p></div><div class='content'><p>[[Mist.]]</p><p>[[It came up from the river at dawn and stayed in the streets until noon.]]</p></div></div>",
 )
 
 

@@ -28,6 +28,24 @@ def test_parts_inside_the_article_that_are_not_the_article():
     assert H.main_text(page, TREE) == "One two three.\nFour five."
 
 
+SIDES = "<div class='menu'><p>Some words about where to go from here on this site of ours</p></div>", "<div class='comments'><p>I think that this is a really good article, thank you for it.</p></div>"
+
+
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>", "<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div class='with-comments'>", "<div class='page sidebar-right'>", "<form><div class='header-fixed'>"])
+@pytest.mark.parametrize("article", [ARTICLE, ARTICLE.replace("article>", "div>"), ARTICLE.replace("<article>", "<div class=content>").replace("</article>", "</div>")])
+def test_wrappers_of_the_page_keep_the_article_and_not_the_parts_beside_it(wrapper, article):
+    close = "</div></form>" if "><" in wrapper else f"</{wrapper[1:].split()[0].strip('>')}>"
+    inside = SIDES[0] + article + SIDES[1]
+    assert H.main_text(wrapper + inside + close, TREE) == TEXT
+    assert H.main_text("<nav><a href='/x'>x</a></nav>" + wrapper + inside + close + "<footer>(c) and a long line of words that no reader ever reads</footer>", TREE) == TEXT
+
+
+def test_side_parts_with_articles_of_their_own_stay_out():
+    beside = "<aside><article><p>Related: a teaser of another text that is longer than all of the article itself, by far and on purpose, so that words alone don't decide it.</p></article></aside>"
+    assert H.main_text(ARTICLE + beside, TREE) == TEXT
+    assert H.main_text(ARTICLE + "<section id='comments'><article><p>nice one</p></article></section>", TREE) == TEXT
+
+
 def test_broken_and_plain_pages():
     assert H.main_text(None, TREE) == H.main_text("", TREE) == H.main_text("<nav>a</nav>", TREE) == ""
     assert H.main_text("just text, no tag, 1 < 2", TREE) == "just text, no tag, 1 < 2"
