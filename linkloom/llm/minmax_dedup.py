@@ -10,7 +10,8 @@ component already is not compared again.
 * Words are runs of anything but space and control white space; A-Z count as a-z. Fewer words than a
   shingle has are one shingle. Without words a document has no shingle and is its own component.
 * Null texts are empty. Rows without an id take no part: no component, kept.
-* Repeated rows are one class. Rows that share an id count as one node with the links of all of them.
+* Repeated rows are one class. Rows that share an id count as one node with the links of all of them, and
+  have one component; ``kept`` speaks of the id.
 * Texts are read whole. An empty table gives an empty result; other columns are not looked at.
 """
 
@@ -25,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import stored, table, text_buffers
+from linkloom.llm.common import WORD, stored, table, text_buffers
 from linkloom.llm.components import components
+from linkloom.operators.joins import lookup_join
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 80
@@ -267,6 +269,16 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(labelled.join(apart, "bucket"), "minmax-apart")
 
 
+def _shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``doc_id, node`` of the ids whose rows have different sets: the nodes of all of them."""
+    key = F.struct("n_shingles", "low", "high")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least <> most")
+    several = stored(several.select("doc_id"), "minmax-several")
+    found = rows.where("n_shingles > 0").select("doc_id", "low", "high", "n_shingles")
+    found = lookup_join(found, several, "doc_id").distinct()
+    return found.join(nodes.select("low", "high", "n_shingles", "node"), ["low", "high", "n_shingles"]).select("doc_id", "node").distinct()
+
+
 def classes(docs: DataFrame, size: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -280,7 +292,10 @@ def classes(docs: DataFrame, size: int = WORDS_IN_SHINGLE, percent: int = PERCEN
     texts = stored(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minmax-texts")
 
     pairs = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = stored(confirmed(pairs, texts, size, percent), "minmax-links")
+    shared_ids = stored(_shared(rows, nodes), "minmax-shared")
+    first = shared_ids.groupBy("doc_id").agg(F.min("node").alias("a"))
+    same = shared_ids.join(first, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    links = stored(confirmed(pairs, texts, size, percent).unionByName(same), "minmax-links")
     roots = stored(components(links), "minmax-roots")
     more = stored(_among(_apart(members.where("node <> centre"), roots), texts, size, percent), "minmax-links")
     if not more.isEmpty():
@@ -288,8 +303,11 @@ def classes(docs: DataFrame, size: int = WORDS_IN_SHINGLE, percent: int = PERCEN
 
     named = nodes.join(roots, "node", "left").select("low", "high", "n_shingles", F.coalesce("root", "node").alias("root"))
     out = rows.drop("bands").join(named, ["low", "high", "n_shingles"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    # A row without words has the component of its id's other rows.
+    other = stored(shared_ids.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("root")), "minmax-others")
+    wordless = lookup_join(out.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles"), other, "doc_id", "left")
+    worded = out.where("n_shingles > 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    return worded.unionByName(wordless.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
 
 
 def op9_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +317,17 @@ def op9_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with all columns: the one with the smallest id; of equal ids the first text."""
+    """One row of each component, with all columns: the one with the smallest id; of equal ids the first text.
+
+    Texts without words come after all others. Rows of one id and text that differ elsewhere are ordered by
+    their columns as JSON. Rows without an id all stay.
+    """
     keys = classes(docs.select("doc_id", "text"), size, percent)
-    gone = keys.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = keys.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    ids = stored(ids.select("doc_id", F.expr("doc_id <> component_id").alias("gone"), "n").where("gone or n > 1"), "minmax-ids")
+    once = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = lookup_join(docs, ids.where("not gone").select("doc_id"), "doc_id").select("doc_id", F.struct(*docs.columns).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    order = F.struct(~text.rlike(WORD), text, F.to_json("row"))
+    first = repeated.groupBy("doc_id").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return once.unionByName(first)

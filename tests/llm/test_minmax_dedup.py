@@ -76,6 +76,25 @@ def test_one_stays_of_each_group(spark, documents):
     assert {r.doc_id for r in kept.collect()} == set(expected.values()) | {None}
 
 
+def test_rows_that_share_an_id_stay_once(spark):
+    texts = [" ".join(f"{name}{n}" for n in range(20)) for name in "abcde"]
+    rows = [(1, texts[0], "x", 1), (5, texts[0], "x", 1), (5, texts[1], "x", 1), (7, texts[1], "y", 2), (7, "", "x", 1)]
+    rows += [(9, texts[2], "x", 1)] * 3 + [(9, texts[2], "a", 0), (11, texts[3], "x", 1), (11, "", "x", 1), (11, None, "x", 1), (12, texts[4], "x", 1), (11, texts[4], "x", 1)]
+    rows += [(20, "", "x", 1)] * 2 + [(21, " ", "x", 1), (None, texts[2], "x", 1), (None, texts[2], "x", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = D.classes(docs.select("doc_id", "text")).collect()
+    assert len(out) == len(rows)
+    found = {i: {r.component_id for r in out if r.doc_id == i} for i in {r[0] for r in rows}}
+    assert found == {1: {1}, 5: {1}, 7: {1}, 9: {9}, 11: {11}, 12: {11}, 20: {20}, 21: {21}, None: {None}}
+    kept = sorted(((r.doc_id, r.text, r.bands, r.node) for r in D.without_copies(docs, size=4).collect()), key=str)
+    assert kept == sorted([(1, texts[0], "x", 1), (9, texts[2], "a", 0), (11, texts[3], "x", 1), (20, "", "x", 1), (21, " ", "x", 1)] + [(None, texts[2], "x", 1)] * 2, key=str)
+
+
+def test_every_row_that_stays_stays_once(spark, documents):
+    kept = D.without_copies(spark.createDataFrame(documents, SCHEMA), size=4)
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(plain_components(documents).values()))
+
+
 def test_empty_table(spark, folder_of):
     assert D.op9_minmax_dedup(spark, folder_of("documents", [], SCHEMA, 1)).count() == 0
 
