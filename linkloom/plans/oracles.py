@@ -318,6 +318,7 @@ ORACLES = {
     "all_findings": f"{FOUND} SELECT seed_id, kind, input, source, type, output, status, length FROM found",
     "crawl_frontier": f"{CRAWL} SELECT seed_id, f.page_id, url, CAST(depth AS INT) AS depth FROM reached r JOIN firsts f ON f.canonical = r.url",
     "crawl_unlimited": f"{UNLIMITED} SELECT seed_id, f.page_id, url FROM reached r JOIN firsts f ON f.canonical = r.url",
+    "crawl_depths_unlimited": f"{UNLIMITED} SELECT seed_id, lower(url) AS url_key, CAST(min(round) AS INT) AS round FROM reached GROUP BY 1, 2",
     "crawl_depths": f"{CRAWL} SELECT seed_id, lower(url) AS url_key, CAST(min(round) AS INT) AS round FROM reached GROUP BY 1, 2",
     "multi_seed_findings": f"""SELECT * FROM ({FOUND} SELECT seed_id, kind, count(*) AS findings FROM found GROUP BY 1, 2)
       UNION ALL SELECT * FROM ({FOUND_APEX} SELECT -seed_id - 1, kind, count(*) FROM found GROUP BY 1, 2)""",

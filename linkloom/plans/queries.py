@@ -463,6 +463,11 @@ def crawl_depths(spark, folder):
     return _crawl(spark, folder).groupBy("seed_id", key).agg(F.min("round").alias("round"))
 
 
+def crawl_depths_unlimited(spark, folder):
+    key = dedup.seen_key(F.col("url")).alias("url_key")
+    return _crawl(spark, folder, 0).groupBy("seed_id", key).agg(F.min("round").alias("round"))
+
+
 def multi_seed_findings(spark, folder):
     pages = _pages(spark, folder)
     apexes = _apex_seeds(pages).withColumn("seed_id", -F.col("seed_id") - 1)
@@ -571,7 +576,7 @@ unminified_variants subdomains s3_buckets url_findings link_edges
 seen_dedup exact_unique kind_precedence canonical_dedup
 new_frontier registrable_domain pages_by_seed frontier_fetch
 all_findings
-crawl_frontier crawl_unlimited crawl_depths multi_seed_findings render_candidates blocked_resources
+crawl_frontier crawl_unlimited crawl_depths crawl_depths_unlimited multi_seed_findings render_candidates blocked_resources
 broken_links status_report js_inventory bundle_fingerprint historical_endpoints admin_forms subdomain_enum
 findings_summary
 stream_findings stream_dedup stream_sink stream_frontier

@@ -37,6 +37,12 @@ def test_scripts_of_all_pages_are_scanned(spark):
     assert (more[:3], less[:3]) == ([], []) and ours > contract.queries()["asset_quoted_links"](spark, SMALL).count()
 
 
+def test_depths_of_deep_chains_without_a_limit(spark):
+    name = "crawl_depths_unlimited"
+    more, less, ours, _ = differences(spark, tables(SMALL), SMALL, contract.queries()[name], contract.oracle_sql()[name])
+    assert (more[:3], less[:3]) == ([], []) and ours > contract.queries()["crawl_depths"](spark, SMALL).count()
+
+
 def test_every_query_has_sql():
     assert set(contract.QUERIES) == set(contract.ORACLES)
 
