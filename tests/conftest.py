@@ -8,9 +8,6 @@ for folder in (os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.pa
 
 from linkloom.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-MEDIUM = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -8,7 +8,7 @@ from linkloom.plans import discovery
 from linkloom.sources import fixtures, ingest
 from linkloom.session import materialized, scratch_path
 
-from conftest import MEDIUM, SMALL
+from places import MEDIUM, SMALL
 
 RULES = ["com", "net", "org", "ua", "com.ua", "*.ck", "!www.ck"]
 

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import differences, tables
-from conftest import SMALL
+from places import SMALL
 
 CHECKED = """
 normalize_targets paged_urls robots_urls sitemap_index_urls archive_union network_urls findings_text raw_bodies
