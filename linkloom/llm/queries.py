@@ -16,6 +16,7 @@ NAMES = {
     "op8_block_knn": "block_knn",
     "op9_minmax_dedup": "minmax_dedup",
     "op10_toxicity": "toxicity",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in NAMES.items()}
