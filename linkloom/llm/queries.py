@@ -17,6 +17,7 @@ NAMES = {
     "op9_minmax_dedup": "minmax_dedup",
     "op10_toxicity": "toxicity",
     "op11_periodic_runs": "periodic_runs",
+    "op12_conversation_repair": "conversation_repair",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in NAMES.items()}
