@@ -18,6 +18,7 @@ NAMES = {
     "op10_toxicity": "toxicity",
     "op11_periodic_runs": "periodic_runs",
     "op12_conversation_repair": "conversation_repair",
+    "op13_quality_rules": "quality_rules",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"linkloom.llm.{module}"), name) for name, module in NAMES.items()}
