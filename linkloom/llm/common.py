@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,31 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarra
 def crc_remainder(doc_id: Column, by: int) -> Column:
     """Remainder of the CRC-32 of the id as text; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``size`` bytes of text at most, and one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving memory back to the system at its end: worker processes stay for the tasks and stages that follow."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -15,8 +15,6 @@ is no single group.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from array import array
 from collections import defaultdict
@@ -27,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import stored, table
+from linkloom.llm.common import lean, sliced, stored, table
 
 SEQUENCE = 4096
 END = 2
-#: Pieces of one bucket on average; words whose ids a task remembers.
+#: Pieces of one bucket on average; bytes of words and ids that a task remembers, and what an entry takes besides.
 BUCKET_ROWS = 20_000
-REMEMBERED = 1_000_000
+REMEMBERED_BYTES = 128 << 20
+ENTRY_BYTES = 200
+#: Bytes of text that are encoded at a time.
+TEXT_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -53,7 +54,8 @@ class Encoder:
     """Token ids of texts as little-endian bytes.
 
     The tokenizer never joins across white space, nor letters with the punctuation after them, and it ignores
-    case; so ids are kept by word, and new words are put together from a stem and the punctuation after it.
+    case; so ids are kept by word, and new words are put together from a stem and the punctuation after it. Some
+    letters end in a combining mark once they are normalised, and that is joined with punctuation; such words stay whole.
     Stems of letters alone are one word of the tokenizer's each, so many are looked up as one text, which is
     cut again behind the tokens that end a word.
     """
@@ -64,10 +66,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.parted: dict[str, bool] = {}  # whether the tokenizer parts a letter from the punctuation after it
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def _parts(self, letter: str) -> bool:
+        found = self.parted.get(letter)
+        if found is None:
+            last = self.tokenizer.normalizer.normalize_str(letter)[-1:]
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(last + ".") if last else []
+            found = self.parted[letter] = len(pieces) == 2 and pieces[1][0] == "."
+        return found
+
     def _one_by_one(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = array("I", found.ids).tobytes()
@@ -75,7 +88,7 @@ class Encoder:
     def _together(self, words: list[str]) -> None:
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) != len(some) or ends[-1] != 4 * len(ids):
                 self._one_by_one(some)
@@ -89,13 +102,18 @@ class Encoder:
         known, made, small, letters, other = self.known, [], {}, set(), set()
         for word in words:
             stem = word.rstrip(PUNCTUATION)
-            if not stem or "<|" in word or not stem[-1].isalnum():
+            if not stem or "<|" in word or not stem[-1].isalnum() or not (stem[-1].isascii() or self._parts(stem[-1])):
                 other.add(word)
                 continue
             if len(stem) < len(word):
                 made.append((word, stem, tail := word[len(stem) :]))
                 if tail not in known:
-                    other.add(tail)
+                    if tail in self.older:
+                        known[tail] = self.older[tail]
+                    else:
+                        other.add(tail)
+            if stem not in known and stem in self.older:
+                known[stem] = self.older[stem]
             if stem not in known:
                 low = stem.lower() if stem.isascii() else stem
                 if low != stem:
@@ -112,43 +130,38 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text with the end mark; the texts' new words are looked up together."""
         end = array("I", [END]).tobytes()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if 2 * self.held > REMEMBERED_BYTES:  # words that come again are taken over from the older half
+            self.known, self.older, self.held = {}, self.known, 0
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
-            self._learn(new)
+            before, kept = len(self.known), new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in kept)
+            self._learn(new - kept)
+            self.held += ENTRY_BYTES * (len(self.known) - before) + sum(map(len, new))
         for parts in split:
             yield b"".join(map(self.known.__getitem__, parts)) + end
 
 
-def worker_encoder(path: str) -> Encoder:
-    """The encoder of this worker process, kept from task to task where Spark uses the process again."""
-    kept = sys.modules.setdefault("_linkloom_encoders", types.ModuleType("_linkloom_encoders")).__dict__
-    return kept.get(path) or kept.setdefault(path, Encoder(path))
-
-
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each run of at most SEQUENCE ids of a document."""
     path = path or vocabulary()
     width = 4 * SEQUENCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
-        for batch in batches:
+        encoder = Encoder(path)  # for one task: nothing is kept in the worker process
+        for part in sliced(batches, "text", TEXT_BYTES):
             rows: list[list] = [[], [], [], [], []]
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = ["" if t is None else t for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    for at in range(0, len(ids), width):
-                        cut = ids[at : at + width]
-                        for to, value in zip(rows, (doc_id, at // 4, len(cut) // 4, zlib.crc32(cut), len(ids) // 4), strict=True):
-                            to.append(value)
+            texts = ["" if t is None else t for t in part.column("text").to_pylist()]
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                for at in range(0, len(ids), width):
+                    cut = ids[at : at + width]
+                    for to, value in zip(rows, (doc_id, at // 4, len(cut) // 4, zlib.crc32(cut), len(ids) // 4), strict=True):
+                        to.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, PIECES)
+    return narrow.mapInArrow(lean(run), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, list[tuple[int, int]]]]:

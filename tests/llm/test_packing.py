@@ -64,3 +64,35 @@ def test_patterns_hold_each_length_as_often_as_it_occurs():
             for length, times in content:
                 found[length] += count * times
         assert dict(found) == histogram and len(patterns) <= 2 * len(histogram) + 2
+
+
+def test_ids_of_every_letter_beside_punctuation():
+    """Every code point that may end a word, before and after each kind of punctuation, as the tokenizer has it."""
+    import sys
+    import unicodedata
+
+    reference, encoder = Tokenizer.from_file(P.vocabulary()), P.Encoder(P.vocabulary())
+    # Every assigned code point, and each 64th of the others.
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (c % 64 == 0 or unicodedata.category(chr(c)) not in ("Cn", "Co"))]
+    marks = ".,!(-\"'_~"
+    generator = random.Random(4)
+    texts = []
+    for at in range(0, len(letters), 512):
+        some = letters[at : at + 512]
+        texts.append(" ".join(f"{c}{generator.choice(marks)} x{c}{generator.choice(marks)}{generator.choice(marks)} {generator.choice(marks)}{c} a{c}b" for c in some))
+    # All kinds of punctuation beside every letter that changes when it is normalised.
+    odd = [c for c in letters if c.isalnum() and not c.isascii() and reference.normalizer.normalize_str(c) != c]
+    texts += [" ".join(f"{c}{m} {c}{m}{c} {m}{c}" for m in P.PUNCTUATION + "'") for c in odd]
+    for text, found in zip(texts, encoder.encode(texts), strict=True):
+        expected = np.array([*reference.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert found == expected, text[:200]
+
+
+def test_words_that_are_forgotten_get_the_same_ids(monkeypatch):
+    texts = [" ".join(f"wort{i % 97}, x{i}." for i in range(at, at + 300)) for at in range(0, 3000, 150)]
+    expected = list(P.Encoder(P.vocabulary()).encode(texts))
+    monkeypatch.setattr(P, "REMEMBERED_BYTES", 20_000)
+    encoder = P.Encoder(P.vocabulary())
+    assert [ids for text in texts for ids in encoder.encode([text])] == expected
+    # Two halves, each with what one call brought besides; all words together are over 6,000.
+    assert len(encoder.known) + len(encoder.older) < 1200 < 6000 < len({w for t in texts for w in t.split()}) * 2
