@@ -27,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import crc_remainder, table
+from linkloom.llm.common import crc_remainder, lean, sliced, stored, table
 
-#: The bounds of the fit: labelled documents of each class, characters of each that are learned from.
+#: The bound of the fit: labelled documents of each class, whose whole texts are learned from. Bytes of text that are taken apart at a time.
 SAMPLE_DOCS = {1: 1000, 0: 2000}
-SAMPLE_CHARS = 8192
+SAMPLE_BYTES = 1 << 20
+#: Letters of a piece of a word, at most.
+PIECE_CHARS = 32
 ORDINARY_BYTES = 12 * 1024
 TOXIC_BYTES = 6 * 1024
 FOLDS = 4
@@ -43,8 +45,9 @@ PADDING = b"\0" * 48
 THRESHOLD = 0.7
 #: Both dictionaries are used with the same parameters; by level alone they would follow the dictionary's size.
 PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 15, "search_log": 5, "min_match": 4, "target_length": 8}
-#: Windows whose saving a task remembers.
+#: Windows whose saving a task remembers, and how long these may be.
 REMEMBERED = 200_000
+REMEMBERED_CHARS = 128
 
 WORD_OF = re.compile(r"[^\W\d_]+")
 
@@ -61,16 +64,24 @@ def windows(tokens: list[str], size: int) -> list[str]:
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, toxic, fold, text`` of a bounded sample: of each class the ids that come first by their hash.
 
-    Labels of an id that disagree count as toxic. The sample of ids is bounded, so it is broadcast.
+    Labels of an id that disagree count as toxic. A share of the hashes that holds four times the sample is cut off
+    before anything is sorted, and the sample of ids is bounded, so it is broadcast. Texts are whole; equal texts and
+    repeated ids count once.
     """
-    clean = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") == 1, SAMPLE_DOCS[1]).otherwise(SAMPLE_DOCS[0])
-    chosen = clean.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(SAMPLE_DOCS.values())).where(F.col("n") <= most)
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    clean = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in clean.groupBy("toxic").count().collect()}  # two rows at most
+    most = {label: SAMPLE_DOCS[label] / max(1, sizes.get(label, 0)) for label in (0, 1)}
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen = None
+    for label in (0, 1):
+        few = clean.withColumn("order", order).where((F.col("toxic") == label) & (F.col("order") < 4 * most[label] * (1 << 30)))
+        first = few.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "doc_id"))).where(F.col("n") <= SAMPLE_DOCS[label])
+        chosen = first if chosen is None else chosen.unionByName(first)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", (F.col("n") % FOLDS).alias("fold"))
-    # A repeated id counts once, so the sample stays bounded.
-    return joined.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")).orderBy("doc_id")
+    once = joined.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
+    return once.groupBy("text").agg(F.min(F.struct("doc_id", "toxic", "fold")).alias("row")).select("row.*", "text")
 
 
 @dataclass(frozen=True)
@@ -81,8 +92,8 @@ class Model:
 
 
 def _pieces(tokens: set[str]) -> set[str]:
-    """Words and the beginnings of words, with the spaces around them."""
-    return {" " + w[:n] for w in tokens for n in range(4, len(w) + 1)} | {f" {w} " for w in tokens if len(w) > 2}
+    """Words and the beginnings of words, with the spaces around them; none is longer than PIECE_CHARS."""
+    return {" " + w[:n] for w in tokens for n in range(4, min(len(w), PIECE_CHARS) + 1)} | {f" {w} " for w in tokens if 2 < len(w) <= PIECE_CHARS}
 
 
 def _toxic_pieces(here: Counter, there: Counter, toxic: int, ordinary: int, least: int = 5, odds: float = 60.0) -> list[str]:
@@ -117,6 +128,8 @@ class Scorer:
         if saved is None:
             content = PADDING + f" {window} ".encode()
             saved = len(self.coders[0](content)) - len(self.coders[1](content))
+            if len(window) > REMEMBERED_CHARS:
+                return saved
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[window] = saved
@@ -151,54 +164,88 @@ def _logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 0.05, r
     return tuple(float(v) for v in w)
 
 
-class Corpus:
-    """The sample's texts as words, and in how many texts of each class and fold each piece occurs."""
-
-    def __init__(self, rows: list[tuple[str, int, int]], least: int = 5):
-        self.rows = [(words(text), toxic, fold, text) for text, toxic, fold in rows]
-        self.counts = {(label, fold): Counter() for label in (0, 1) for fold in range(FOLDS)}
-        for label in (1, 0):
-            for tokens, toxic, fold, _ in self.rows:
-                if toxic == label:
-                    found = _pieces(set(tokens))
-                    self.counts[label, fold].update(found if label else found & common)
-            if label:
-                common = {p for p, n in self.total(1, None).items() if n >= least}
-
-    def total(self, label: int, without: int | None) -> Counter:
-        out: Counter = Counter()
-        for fold in range(FOLDS):
-            if fold != without:
-                out.update(self.counts[label, fold])
-        return out
-
-    def dictionaries(self, without: int | None = None) -> Model | None:
-        """Both dictionaries of all folds but one."""
-        learn = [(t, y) for t, y, fold, _ in self.rows if fold != without]
-        ordinary = [t for t, y in learn if not y]
-        if not ordinary or len(ordinary) == len(learn):
-            return None
-        share = max(64, ORDINARY_BYTES // len(ordinary))
-        base = b"".join((" " + " ".join(t))[:share].encode() for t in ordinary)[-ORDINARY_BYTES:]
-        found = _toxic_pieces(self.total(1, without), self.total(0, without), len(learn) - len(ordinary), len(ordinary))
-        return Model(base, base + "".join(found).encode()[-TOXIC_BYTES:])
+def _piece_counts(sample: DataFrame, sizes: dict[tuple[int, int], int], least: int, odds: float) -> list:
+    """In how many texts of each class and fold a piece occurs: ``n<class><fold>``, for the pieces that can come into a dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text", SAMPLE_BYTES, 64):
+            pieces, rows = [], []
+            for i, text in enumerate(part.column("text").to_pylist()):
+                found = _pieces(set(words(text)))
+                pieces += found
+                rows += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), *(part.column(n).take(pa.array(rows, pa.int32())) for n in ("toxic", "fold"))], ["piece", "toxic", "fold"])
+
+    rows = sample.select("text", "toxic", "fold").mapInArrow(lean(run), "piece string, toxic int, fold int")
+    cells = [(label, fold) for label in (0, 1) for fold in range(FOLDS)]
+    counts = rows.groupBy("piece").agg(*(F.count(F.when((F.col("toxic") == label) & (F.col("fold") == fold), 1)).alias(f"n{label}{fold}") for label, fold in cells))
+
+    def total(label: int, without: int | None):
+        return sum((F.col(f"n{label}{fold}") for fold in range(FOLDS) if fold != without), F.lit(0))
+
+    good = F.lit(False)
+    for without in (None, *range(FOLDS)):
+        toxic, ordinary = (sum(n for (y, fold), n in sizes.items() if y == label and fold != without) for label in (1, 0))
+        good |= (total(1, without) >= least) & (total(1, without) * ordinary >= odds * toxic * (total(0, without) + 0.5))
+    return counts.where(good).collect()
+
+
+def _openings(sample: DataFrame, size: int) -> list:
+    """What each ordinary text gives to the dictionaries: its first words, so that all of them together have a bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text", SAMPLE_BYTES, 64):
+            opening = [(" " + " ".join(words(text)))[:size] for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("doc_id", "fold")), pa.array(opening, pa.string())], ["doc_id", "fold", "opening"])
+
+    return sample.where("toxic = 0").select("doc_id", "fold", "text").mapInArrow(run, "doc_id long, fold int, opening string").collect()
+
+
+def dictionaries(sample: DataFrame, least: int = 5, odds: float = 60.0) -> dict[int | None, Model]:
+    """Both dictionaries of the whole sample (None) and of all folds but one; what has but one class is left out.
+
+    Texts are read inside of tasks; what reaches the driver is bounded by the size of the dictionaries and by the
+    pieces that meet the odds.
+    """
+    sizes = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    held: dict[int | None, Model] = {}
+    if {label for label, _ in sizes} != {0, 1}:
+        return held
+    rest = {without: tuple(sum(n for (y, fold), n in sizes.items() if y == label and fold != without) for label in (0, 1)) for without in (None, *range(FOLDS))}
+    counts = _piece_counts(sample, sizes, least, odds)
+    shares = {without: max(64, ORDINARY_BYTES // max(1, ordinary)) for without, (ordinary, _) in rest.items()}
+    openings = sorted(_openings(sample, max(shares.values())), key=lambda r: r["doc_id"])
+    for without, (ordinary, toxic) in rest.items():
+        if not ordinary or not toxic:
+            continue
+        base = "".join(r["opening"][: shares[without]] for r in openings if r["fold"] != without).encode()[-ORDINARY_BYTES:]
+        total = lambda row, label: sum(row[f"n{label}{fold}"] for fold in range(FOLDS) if fold != without)  # noqa: B023, E731
+        here, there = (Counter({r["piece"]: total(r, label) for r in counts}) for label in (1, 0))
+        found = _toxic_pieces(here, there, toxic, ordinary, least, odds)
+        held[without] = Model(base, base + "".join(found).encode()[-TOXIC_BYTES:])
+    return held
 
 
 def fit(sample: DataFrame) -> Model | None:
     """Dictionaries of the sample; the curve from texts that the dictionaries they are judged by have not seen."""
-    once = {r.text: (r.text, r.toxic, r.fold) for r in sample.collect()}  # equal texts count once
-    corpus = Corpus(list(once.values()))
-    features, labels = [], []
-    for fold in range(FOLDS):
-        if learnt := corpus.dictionaries(fold):
-            scorer = Scorer(learnt)
-            judged = [(y, text) for _, y, own, text in corpus.rows if own == fold]
-            features += [scorer.features(text) for _, text in judged]
-            labels += [y for y, _ in judged]
-    whole = corpus.dictionaries()
-    if whole is None or set(labels) != {0, 1}:
+    sample = stored(sample, "toxicity-sample")
+    learnt = dictionaries(sample)
+    if None not in learnt:
+        return None
+    shared = sample.sparkSession.sparkContext.broadcast({fold: (m.ordinary, m.toxic) for fold, m in learnt.items() if fold is not None})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = {fold: Scorer(Model(*content)) for fold, content in shared.value.items()}
+        for batch in batches:
+            folds = batch.column("fold").to_pylist()
+            found = [scorers[fold].features(t.as_py()) if fold in scorers else None for fold, t in zip(folds, batch.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "features"])
+
+    judged = sample.where(F.col("fold").isin([f for f in learnt if f is not None])).repartition(2 * FOLDS, "doc_id")
+    rows = sorted(judged.mapInArrow(lean(run), "doc_id long, toxic int, features array<double>").collect(), key=lambda r: r["doc_id"])
+    if {r["toxic"] for r in rows} != {0, 1}:
         return None
-    return replace(whole, weights=_logistic(np.array(features), np.array(labels, float)))
+    return replace(learnt[None], weights=_logistic(np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float)))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -218,7 +265,7 @@ def _scores(docs: DataFrame, model: Model, keep: list[str]):
             scores = pa.array([scorer.score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], [*keep, "score"])
 
-    return run
+    return lean(run)
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
