@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WORD, stored, table, text_buffers
+from linkloom.llm.common import WORD, lean, sliced, stored, table, text_buffers
 from linkloom.llm.components import components
 from linkloom.operators.joins import lookup_join
 
@@ -35,9 +35,9 @@ PERCENT = 80
 #: 64 permutations give 128 values; 25 bands of five miss a pair of similarity 0.8 five times in 100,000.
 PERMUTATIONS = 64
 BAND = 5
-#: Bytes that are hashed at a time, and sets that a task remembers while it confirms links.
+#: Bytes that are hashed at a time, and bytes of the sets that a task remembers while it confirms links.
 SEGMENT = 1 << 21
-REMEMBERED = 1000
+REMEMBERED_BYTES = 32 << 20
 #: Members of one block of a bucket on average, and shingles that are multiplied out at a time.
 BLOCK = 256
 COLUMNS = 8192
@@ -153,40 +153,41 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     """Set size, digest of the set and band keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = list(sets_of(part.column("text"), size))
-                full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [None] * len(sets)
-                low, high = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                if full:
-                    some = [sets[i] for i in full]
-                    starts = np.concatenate([[0], np.cumsum([len(s) for s in some])[:-1]])
-                    values = np.concatenate(some)
-                    low[full], high[full] = np.add.reduceat(mixed(values + ODD), starts), np.add.reduceat(mixed(values ^ BASE), starts)
-                    for i, row in zip(full, band_keys(min_max(some)), strict=True):
-                        keys[i] = row
-                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "low", "high", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+        for part in sliced(batches, "text", SEGMENT, 512):
+            sets = list(sets_of(part.column("text"), size))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            keys: list = [None] * len(sets)
+            low, high = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            if full:
+                some = [sets[i] for i in full]
+                starts = np.concatenate([[0], np.cumsum([len(s) for s in some])[:-1]])
+                values = np.concatenate(some)
+                low[full], high[full] = np.add.reduceat(mixed(values + ODD), starts), np.add.reduceat(mixed(values ^ BASE), starts)
+                for i, row in zip(full, band_keys(min_max(some)), strict=True):
+                    keys[i] = row
+            columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "low", "high", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SIGNED)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        known: OrderedDict[tuple, np.ndarray] = OrderedDict()
+        held = 0
 
         def full(key: int, column: pa.Array, i: int) -> np.ndarray:
+            nonlocal held
             # Rows that share an id may differ in text, so the text's hash is part of the key.
             text = column[i].as_py()
             found = known.get((key, hash(text)))
             if found is None:
                 found = known[(key, hash(text))] = next(sets_of(pa.array([text], pa.string()), size))
-                if len(known) > REMEMBERED:
-                    known.popitem(last=False)
+                held += found.nbytes
+                while held > REMEMBERED_BYTES and len(known) > 1:
+                    held -= known.popitem(last=False)[1].nbytes
             return found
 
         for batch in batches:
@@ -202,7 +203,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(list(map(bool, good)), pa.bool_()))
 
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"{name}_text"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(lean(run), "a long, b long")
 
 
 def _compared(size: int, percent: int):
@@ -289,7 +290,9 @@ def classes(docs: DataFrame, size: int = WORDS_IN_SHINGLE, percent: int = PERCEN
     spread = nodes.select(F.explode("bands").alias("bucket"), "node").distinct()
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     members = stored(spread.join(shared, "bucket").select("bucket", "node", "centre"), "minmax-members")
-    texts = stored(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minmax-texts")
+    # One row for each id and text, however often it is stored: two texts in many copies are one comparison.
+    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = stored(texts, "minmax-texts")
 
     pairs = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     shared_ids = stored(_shared(rows, nodes), "minmax-shared")
