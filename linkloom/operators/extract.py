@@ -203,12 +203,13 @@ def classify(rows: DataFrame, scripts: bool = False) -> DataFrame:
     return df.where("kind is not null")
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
+def link_edges(pages: DataFrame, scripts: bool = False) -> DataFrame:
     """The link graph before any de-duplication: every tag and quoted link of every page.
 
-    ``dst`` is NULL for tag links that stand for the seed; no scope is applied.
+    ``dst`` is NULL for tag links that stand for the seed; no scope is applied. With ``scripts``
+    the bodies are script files.
     """
-    rows = classify(resolve(scan(responses(pages), ("quoted", "tag"))))
+    rows = classify(resolve(scan(responses(pages), ("quoted", "tag"), scripts=scripts)), scripts)
     rows = rows.where(F.col("kind").isin("href", "linkfinder", "javascript"))
     rows = rows.where(F.col("canon").isNotNull() | (F.col("kind") == "href"))
     return rows.select(

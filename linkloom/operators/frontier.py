@@ -1,17 +1,19 @@
 """Crawl rounds over a stored corpus, and the budgets that go with them."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns, urls
-from ..session import materialized
+from ..session import scratch_path
 from .dedup import ARRIVAL, first_seen
 from .extract import is_success, link_edges
 from .joins import lookup_join
 from .scope import SCOPE_COLUMNS, in_scope
 
-COMPACT_EVERY = 8
+POINTS = 256  # URLs of a frontier that are looked up as values, so that only their buckets of the graph are read
+CLAIM = ["seed_id", "set_name", "key"]
+GRAPH = ["src", "scripted", "dst", "key", "kind", "phase", "page_id", "ord"]
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -31,6 +33,51 @@ def page_graph(pages: DataFrame) -> DataFrame:
     return links.join(first, "page_id").select("src", "dst", "kind", "phase", "page_id", "ord")
 
 
+def site_graph(pages: DataFrame, scripts: DataFrame) -> DataFrame:
+    """As :func:`page_graph`, with script assets as nodes of their own between pages and the links in script bodies.
+
+    ``scripted`` tells whether ``src`` is a script; ``key`` is what a link claims: a script tag its URL as
+    written, everything else its canonical URL.
+    """
+    key = F.lower(F.when(F.col("type") == "javascript", F.col("link")).otherwise(F.col("dst")))
+    parts = []
+    for stored, scripted in ((pages, False), (scripts, True)):
+        first = distinct_pages(stored).select("page_id", F.col("canonical").alias("src"))
+        links = link_edges(stored, scripted).drop("src").withColumns({"key": key, "scripted": F.lit(scripted)})
+        parts.append(links.join(first, "page_id").select(*GRAPH))
+    return parts[0].unionByName(parts[1])
+
+
+class Tables:
+    """Bucketed tables of one crawl under the shared folder; their names leave the catalog again, their files stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.place = spark, scratch_path(spark, "crawl")
+        self.prefix = f"crawl_{self.place.rsplit('-', 1)[1]}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: set[str] = set()
+
+    def write(self, df: DataFrame, name: str, keys: list[str], partition: str | None = None) -> DataFrame:
+        """Append ``df``, dealt and sorted by ``keys``, and return the whole table."""
+        rows = df.repartition(self.buckets, *keys)
+        writer = rows.write.mode("append").format("parquet").option("path", f"{self.place}/{name}")
+        writer = writer.bucketBy(self.buckets, *keys).sortBy(*keys)
+        if partition is not None:
+            writer = writer.partitionBy(partition)
+        writer.saveAsTable(f"{self.prefix}_{name}")
+        self.names.add(name)
+        return self.spark.table(f"{self.prefix}_{name}")
+
+    def files(self, name: str) -> DataFrame:
+        """A table's rows by their place alone, for readers that outlive its name."""
+        schema = self.spark.table(f"{self.prefix}_{name}").schema
+        return self.spark.read.schema(schema).parquet(f"{self.place}/{name}")
+
+    def forget(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
+
+
 def crawl(
     graph: DataFrame,
     known: DataFrame,
@@ -38,58 +85,105 @@ def crawl(
     max_depth: int = 0,
     exclude: str | None = None,
     max_rounds: int | None = None,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Fetch rounds from the seeds through ``graph`` until nothing new is admitted.
 
     ``known`` maps canonical URLs to stored pages; ``seeds`` comes from
     ``seed_columns``. A tag link is one deeper than its page, a quoted link starts
     over at depth 1, and ``max_depth`` 0 is unlimited. A URL belongs to the first
-    row that reports it even if that row is too deep to be fetched. Returns one
-    row per seed and visited URL: ``depth``, ``round`` and the ``page_id`` where it
-    is stored.
-
-    Each round is checkpointed to the shared folder, so a lost executor costs no
-    more than a re-read, and the plan of a round does not grow with the rounds
-    before it. A small frontier is broadcast, so its round reads the graph without
-    shuffling it; a large one shuffles both with a salt. What was claimed and visited is kept as one table per round,
-    merged every few rounds.
+    row that reports it even if that row is too deep to be fetched. ``starts``
+    (``seed_id``, ``url``) are URLs from robots files, sitemaps, archives and the like: they
+    are fetched in the first round like the seeds, if scope and ``exclude`` let them. Scripts
+    of a :func:`site_graph` are claimed whether in scope or not, and fetched, under their plain names too,
+    if in scope. Returns one row per seed and visited URL: ``depth``, ``round`` and the ``page_id``
+    where it is stored; visited scripts are ``scripted``.
+
+    The graph is shuffled once, into a table bucketed by ``src``. What has been claimed is a table
+    bucketed by its key with one partition for each round; a round reads the partition of the last one, and its
+    own aggregate by key lies as the table's buckets do. So neither the graph nor what is
+    known is shuffled again, only what is new, and a frontier of a few URLs reads but their buckets. All that
+    links claim is claimed for good, so of what was visited only the first round is compared.
     """
-    state = ["seed_id", "url", "depth", "round", *SCOPE_COLUMNS, "seed_canon"]
-    graph = materialized(graph)
-    frontier = seeds.withColumns({"url": F.col("seed_canon"), "depth": F.lit(1), "round": F.lit(1)}).select(*state)
-    frontier = materialized(first_seen(frontier, ["seed_id", "url"], ["depth", "round"]))
-    visited, claimed = [frontier.select("seed_id", "url", "depth", "round")], []
-    number = 1
-    while not frontier.isEmpty() and (max_rounds is None or number < max_rounds):
-        number += 1
-        reached = lookup_join(graph, frontier.withColumnRenamed("url", "src"), "src")
-        links = reached.withColumn("dst", F.coalesce("dst", "seed_canon")).where(in_scope(F.col("dst")))
-        links = links.withColumn("key", F.lower("dst")).drop("src", "round")
-        first = first_seen(links, ["seed_id", "key"], ARRIVAL)
-        if claimed:
-            first = first.join(_merged(claimed), ["seed_id", "key"], "left_anti")
-        deeper = F.when(F.col("kind") == "href", F.col("depth") + 1).otherwise(1)
-        first = first.withColumns({"url": F.col("dst"), "depth": deeper, "round": F.lit(number)})
-        first = materialized(first.select("key", *state))
-        claimed.append(first.select("seed_id", "key"))
-        admitted = first.where(~F.col("url").rlike(patterns.STATIC_ASSET))
-        if max_depth:
-            admitted = admitted.where(F.col("depth") <= max_depth)
-        if exclude is not None:
-            admitted = admitted.where(~F.col("url").rlike(exclude))
-        frontier = materialized(admitted.drop("key").join(_merged(visited), ["seed_id", "url"], "left_anti"))
-        visited.append(frontier.select("seed_id", "url", "depth", "round"))
-        if number % COMPACT_EVERY == 0:
-            visited, claimed = [materialized(_merged(visited))], [materialized(_merged(claimed))]
+    tables = Tables(graph.sparkSession)
+    try:
+        begun, claimed = _rounds(tables, graph, seeds, max_depth, exclude, max_rounds, starts)
+    finally:
+        tables.forget()
+    visits = begun.select("seed_id", "url", F.lit(False).alias("scripted"), F.lit(1).alias("depth"), F.lit(1).alias("round"))
+    if claimed is not None:
+        # A script can be reached under its own name and as the plain name of a minified one.
+        later = _admitted(claimed, begun, max_depth, exclude).select(*visits.columns)
+        visits = visits.unionByName(first_seen(later, ["seed_id", "url", "scripted"], ["round", "depth"]))
     found = known.select(F.col("canonical").alias("url"), "page_id")
-    return _merged(visited).join(found, "url", "left").select("seed_id", "url", "depth", "round", "page_id")
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    return visits.join(found, "url", "left").select("seed_id", "url", "depth", "round", "page_id", "scripted")
+
+
+def _rounds(tables: Tables, graph: DataFrame, seeds: DataFrame, max_depth: int, exclude: str | None, max_rounds: int | None, starts: DataFrame | None):
+    """Run the rounds; what was fetched in the first one, and what was claimed in all of them."""
+    graph = graph if "scripted" in graph.columns else graph.withColumn("scripted", F.lit(False))
+    graph = graph if "key" in graph.columns else graph.withColumn("key", F.lower("dst"))
+    graph = tables.write(graph.select(*GRAPH), "graph", ["src"])
+    scopes = ["seed_id", "seed_canon", *SCOPE_COLUMNS]
+    first = seeds.select(*scopes, F.col("seed_canon").alias("url"))
+    if starts is not None:
+        first = first.unionByName(_started(starts, seeds.select(*scopes), exclude))
+    begun = tables.write(first_seen(first, ["seed_id", "url"], ["seed_canon"]), "begun", ["seed_id", "url"])
+    state = ["seed_id", "url", "scripted", "depth", "round", "seed_canon", *SCOPE_COLUMNS]
+    frontier = begun.withColumns({"scripted": F.lit(False), "depth": F.lit(1), "round": F.lit(1)}).select(*state)
+    claimed, number = None, 1
+    while (max_rounds is None or number < max_rounds) and not frontier.isEmpty():
+        number += 1
+        new = claims(graph, frontier, claimed).withColumn("round", F.lit(number))
+        claimed = tables.write(new, "claimed", CLAIM, "round")
+        frontier = _admitted(claimed.where(F.col("round") == number), begun, max_depth, exclude).select(*state)
+    return tables.files("begun"), None if claimed is None else tables.files("claimed")
+
+
+def claims(graph: DataFrame, frontier: DataFrame, claimed: DataFrame | None) -> DataFrame:
+    """The first link of a frontier to every key that is not claimed yet."""
+    new = first_seen(_reached(graph, frontier), CLAIM, ARRIVAL)
+    if claimed is not None:
+        new = new.join(claimed.select(*CLAIM), CLAIM, "left_anti")
+    deeper = F.when(F.col("kind") == "href", F.col("depth") + 1).otherwise(1)
+    return new.withColumn("depth", deeper)
+
+
+def _reached(graph: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Links of a frontier that claim a key: those in scope, and all scripts."""
+    few = [r.url for r in frontier.select("url").distinct().limit(POINTS + 1).collect()]
+    if len(few) <= POINTS:
+        graph = graph.where(F.col("src").isin(few))
+    links = graph.join(frontier.withColumnRenamed("url", "src"), ["src", "scripted"])
+    links = links.withColumns({"dst": F.coalesce("dst", "seed_canon"), "key": F.coalesce("key", F.lower("seed_canon"))})
+    script = F.col("kind") == "javascript"
+    links = links.where(script | in_scope(F.col("dst"))).withColumn("set_name", F.when(script, "js").otherwise("link"))
+    return links.drop("src", "scripted", "round").withColumnRenamed("dst", "url")
+
+
+def _admitted(claimed: DataFrame, begun: DataFrame, max_depth: int, exclude: str | None) -> DataFrame:
+    """Claimed links that are fetched, scripts under their plain names too."""
+    script = F.col("kind") == "javascript"
+    plain = F.array_distinct(F.array("url", F.replace("url", F.lit(".min.js"), F.lit(".js"))))
+    rows = claimed.where(~script | in_scope(F.col("url"))).withColumn("scripted", script)
+    rows = rows.withColumn("url", F.explode(F.when(script, plain).otherwise(F.array("url"))))
+    rows = rows.where(~F.col("url").rlike(patterns.STATIC_ASSET))
+    if max_depth:
+        rows = rows.where(F.col("depth") <= max_depth)
+    if exclude is not None:
+        rows = rows.where(~F.col("url").rlike(exclude))
+    visited = begun.select("seed_id", "url", F.lit(False).alias("scripted"))
+    return rows.join(visited, ["seed_id", "url", "scripted"], "left_anti")
+
+
+def _started(starts: DataFrame, seeds: DataFrame, exclude: str | None) -> DataFrame:
+    """Outside URLs of each seed that may be fetched, in canonical form."""
+    rows = lookup_join(starts.select("seed_id", "url").distinct(), seeds, "seed_id")
+    rows = rows.where(in_scope(F.col("url")) & ~F.col("url").rlike(patterns.STATIC_ASSET))
+    if exclude is not None:
+        rows = rows.where(~F.col("url").rlike(exclude))
+    rows = urls.with_canonical(rows, "url", "canonical").where("canonical is not null")
+    return rows.drop("url").withColumnRenamed("canonical", "url").select(*seeds.columns, "url")
 
 
 def fetched(visits: DataFrame) -> DataFrame:

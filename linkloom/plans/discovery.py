@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from ..functions import patterns, text, urls
 from ..operators.dedup import first_seen
 from ..operators.extract import SCANS, classify, is_success, resolve, responses, scan
-from ..operators.joins import BROADCAST_BYTES, is_small
+from ..operators.joins import BROADCAST_BYTES, is_small, lookup_join
 from ..operators.scope import SCOPE_COLUMNS, attach_seeds, in_scope, in_scope_by_host
 from ..session import materialized
 from ..schema import FINDING_COLUMNS
+from ..sources.ingest import network_requests
 
 SEED_COLUMNS = ["seed_id", "input", "seed_url", "seed_canon", "domain", *SCOPE_COLUMNS]
 FINDING_KEYS = ["seed_id", "set_name", "key"]
+NETWORK_PHASE = 2  # after the text and tag scans of a page
 TEXT_SCANS = ["response", "host", "bucket", "quoted"]
 
 
@@ -67,8 +69,10 @@ def raw_findings(
         .when(kind == "aws", text.decoded(token))
         .otherwise(F.col("canon"))
     )
+    # Pages and scripts are tables of their own, so their ids may be alike.
+    response_key = F.concat(F.lit("script "), F.col("page_id").cast("string")) if scripts else F.col("page_id").cast("string")
     key = (
-        F.when(kind == "url", F.col("page_id").cast("string"))
+        F.when(kind == "url", response_key)
         .when(F.col("type") == "javascript", F.lower("link"))
         .otherwise(F.lower("output"))
     )
@@ -94,6 +98,52 @@ def findings(pages: DataFrame, seeds: DataFrame, **options) -> DataFrame:
     return first_seen(raw_findings(pages, seeds, **options), FINDING_KEYS)
 
 
+def whole_findings(
+    pages: DataFrame,
+    seeds: DataFrame,
+    scripts: DataFrame | None = None,
+    log: DataFrame | None = None,
+    listed: dict[str, DataFrame] | None = None,
+    rendered: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """Findings of all producers as one table: ``seed_id, kind`` and the record's columns.
+
+    Producers that share a memory are merged by arrival: links, script assets and quoted links of pages
+    come first, then requests of rendered pages (``log``), then what stands in the bodies of fetched ``scripts``,
+    and of the scripts that these name, until no new one is found. A key belongs to the first of them. ``listed`` holds
+    URLs (``seed_id``, ``url``) by kind (robots, sitemap, other-sources) and ``rendered`` the rendered pages;
+    they have no memory, so repeats stay. Pages are scanned once, and what they give is reduced to one row for each key before
+    anything else meets it; a round of scripts is compared with the keys that are known, never scanned again.
+    """
+    first = first_seen(raw_findings(pages, seeds, **options), FINDING_KEYS)
+    if log is not None:
+        first = first_seen(first.unionByName(_requests(log, seeds).select(*first.columns)), FINDING_KEYS)
+    known = fresh = materialized(first)
+    while scripts is not None:
+        found = asset_findings(fresh.where("kind = 'javascript'"), scripts, seeds, **options)
+        fresh = materialized(found.join(known.select(*FINDING_KEYS), FINDING_KEYS, "left_anti").select(*known.columns))
+        known = known.unionByName(fresh)
+        if fresh.where("kind = 'javascript' and in_scope").isEmpty():
+            break
+    kept = ["seed_id", "kind", *FINDING_COLUMNS]
+    whole = known.select(*kept)
+    inputs = seeds.select("seed_id", F.col("url").alias("input"))
+    for kind, rows in {**(listed or {}), **({} if rendered is None else {"render": rendered})}.items():
+        rows = lookup_join(rows.select("seed_id", F.col("url").alias("output")), inputs, "seed_id")
+        labels = {"kind": F.lit(kind), "source": F.lit(kind), "type": F.lit("render" if kind == "render" else "url")}
+        whole = whole.unionByName(rows.withColumns({**labels, "status": F.lit(0), "length": F.lit(0)}).select(*kept))
+    return whole
+
+
+def _requests(log: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Requests of rendered pages as findings that share the memory of links."""
+    rows = lookup_join(network_requests(log, seeds), seeds.select("seed_id", F.col("url").alias("input")), "seed_id")
+    fixed = {"set_name": "link", "kind": "network", "source": "network", "type": "network"}
+    rows = rows.withColumns({name: F.lit(value) for name, value in fixed.items()} | {"in_scope": F.lit(True)})
+    return rows.withColumns({"status": F.lit(0), "length": F.lit(0), "depth": F.lit(1), "phase": F.lit(NETWORK_PHASE), "ord": F.lit(0)}).withColumnRenamed("request_url", "output")
+
+
 def asset_findings(assets: DataFrame, scripts: DataFrame, seeds: DataFrame, **options) -> DataFrame:
     """Findings inside the bodies of fetched script assets.
 

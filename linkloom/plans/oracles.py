@@ -4,6 +4,8 @@ Written against the raw tables with RE2 patterns, sharing nothing with the Spark
 jobs but the derived inputs they describe.
 """
 
+import re
+
 from . import queries as Q
 
 # The scan patterns in their RE2 form.
@@ -31,6 +33,10 @@ SITEMAPS = [
 ]
 
 
+# All kinds of findings.
+KINDS = "url href javascript linkfinder form upload-form subdomains aws robots sitemap other-sources network render raw".split()
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -215,6 +221,81 @@ CRAWL = f"""WITH RECURSIVE {BASE[5:]}, {CHAIN}, {_links("p")[1:]},
  reached AS (SELECT seed_id, url, min(round) AS round, arg_min(depth, round * 1000 + depth) AS depth FROM walk GROUP BY seed_id, url)"""
 UNLIMITED = CRAWL.replace(f"(NOT e.tag OR w.depth < {Q.CRAWL_DEPTH})", "TRUE")
 
+def _script_links() -> str:
+    """The link CTEs of the script bodies, under names of their own."""
+    return re.sub(r"\b(dec|q0|q1|quoted|t0|t1|tags|links)\b(?!\()", r"s_\1", _links("scripts"))
+
+
+SCRIPTS = """scripts AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/js/' || page_id || '.js' AS url, html, host, apex FROM p)"""
+OWN_SCRIPT = """'<script src="/js/' || page_id || '.min.js"></script>'"""
+ROBOTS = f"""robots AS (SELECT seed_id, CASE WHEN rule = '' THEN seed_url ELSE {_printed(_absolute('seed_url', 'rule'))} END AS url
+  FROM (SELECT s.seed_id, s.seed_url, trim(regexp_extract(p.url, '^https?://[^/?#]+([^?#]*)', 1)) AS rule FROM p JOIN seeds s USING (host)))"""
+OTHERS = f"""{LISTING}, others AS (SELECT DISTINCT s.seed_id, u.url FROM seeds s JOIN (
+  SELECT apex AS domain, url FROM p UNION ALL SELECT apex, url FROM p WHERE page_id % 13 <> 0
+  UNION ALL SELECT apex, url FROM p WHERE (page_id // 100) % 5 <> 4 UNION ALL SELECT domain, url FROM pagedp) u ON u.domain = s.apex)"""
+REQUESTS = """requests AS (SELECT s.seed_id, s.seed_url AS input, page_id, p.url FROM p JOIN seeds s USING (host)
+  WHERE page_id % 6 IN (0, 1) AND page_id % 4 <> 3 AND regexp_matches(p.url, scope))"""
+WHOLE = (
+    _findings()
+    .replace("|| ' </i>' AS html", f"|| ' </i>' || {OWN_SCRIPT} AS html", 1)
+    .replace(
+        "  found AS (SELECT seed_id",
+        f"""  {REQUESTS},
+  rows1 AS (SELECT * FROM rows0 UNION ALL SELECT seed_id, input, 'network', 'network', 'network', url, 0, 0, 'link', lower(url), 2, page_id, TRUE FROM requests),
+  found AS (SELECT seed_id""",
+        1,
+    )
+    .replace("FROM rows0) WHERE rn = 1", "FROM rows1) WHERE rn = 1", 1)
+    + f""", {SCRIPTS}, {_script_links()[1:]}, {ROBOTS}, {OTHERS},
+  wanted AS (SELECT DISTINCT f.seed_id, f.input, s.apex AS sapex, s.scope, unnest([output, replace(output, '.min.js', '.js')]) AS url
+    FROM found f JOIN seeds s USING (seed_id) WHERE kind = 'javascript' AND in_scope),
+  spg AS (SELECT w.seed_id, w.input, w.sapex, w.scope, x.* FROM s_dec x JOIN wanted w ON x.url = w.url),
+  srows AS (
+    SELECT seed_id, input, 'url' AS kind, 'body' AS source, 'url' AS type, url AS output, 200 AS status, strlen(d) AS length, 'url' AS set_name,
+      'script ' || page_id AS key, page_id FROM spg
+    UNION ALL
+    SELECT w.seed_id, w.input, x.kind, CASE WHEN x.kind = 'javascript' THEN 'javascript' ELSE x.source END, x.type, canon, 0, 0,
+      CASE WHEN x.kind = 'javascript' THEN 'js' ELSE 'link' END, lower(canon), page_id FROM s_links x JOIN wanted w ON x.url = w.url
+      WHERE phase = 0 AND regexp_matches(x.link, w.scope) AND regexp_matches(x.url, w.scope)
+    UNION ALL
+    SELECT seed_id, input, 'subdomains', 'body', 'subdomain', o, 0, 0, 'sub', lower(o), page_id FROM (
+      SELECT seed_id, input, page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(m), '^(20|25|2b|2f|3d|3a|40)+', ''), '^-+', ''), '-+$', ''), '^\\.(.)', '\\1') AS o FROM (
+        SELECT seed_id, input, page_id, unnest(regexp_extract_all(d, {_q(LABELS)} || replace(sapex, '.', '[.]'))) AS m FROM spg WHERE regexp_matches(url, scope)))
+    UNION ALL
+    SELECT seed_id, input, 'aws', 'body', 'aws', {_decode('m')}, 0, 0, 'aws', lower({_decode('m')}), page_id FROM (
+      SELECT seed_id, input, page_id, unnest(regexp_extract_all(d, {_q(BUCKET)})) AS m FROM spg WHERE regexp_matches(url, scope))),
+  sfound AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, set_name, key ORDER BY page_id, source, output) AS rn FROM srows) r
+    WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM found f WHERE f.seed_id = r.seed_id AND f.set_name = r.set_name AND f.key = r.key)),
+  shown AS (SELECT seed_id, url FROM (SELECT seed_id, url, row_number() OVER (PARTITION BY seed_id ORDER BY o) AS pick FROM (
+    SELECT seed_id, arg_min(url, o) AS url, min(o) AS o FROM (SELECT seed_id, seed_url AS url, -1 AS o FROM seeds UNION ALL
+      SELECT s.seed_id, x.url, page_id FROM rich x JOIN seeds s ON x.host = s.host WHERE strlen(x.html) < 61440 AND regexp_matches(x.url, s.scope)) GROUP BY seed_id, lower(url))) WHERE pick <= 6),
+  extra AS (SELECT seed_id, 'robots' AS kind, 'url' AS type, url FROM robots WHERE url IS NOT NULL UNION ALL SELECT seed_id, 'sitemap', 'url', p.url FROM p JOIN seeds USING (host)
+    UNION ALL SELECT seed_id, 'sitemap', 'url', p.url FROM p JOIN seeds USING (host) UNION ALL SELECT seed_id, 'other-sources', 'url', url FROM others
+    UNION ALL SELECT seed_id, 'render', 'render', url FROM shown),
+  whole AS (SELECT seed_id, kind, input, source, type, output, status, length FROM found
+    UNION ALL SELECT seed_id, kind, input, source, type, output, CAST(status AS INT), CAST(length AS INT) FROM sfound
+    UNION ALL SELECT e.seed_id, kind, s.seed_url, kind, type, e.url, 0, 0 FROM extra e JOIN seeds s USING (seed_id))
+"""
+)
+EXCLUDED = "(?i)/(the|and|la|de)[a-z]*$"
+SEEDED = f"""WITH RECURSIVE {BASE[5:]}, own AS (SELECT page_id, url, html || {OWN_SCRIPT} AS html, host, apex FROM p), {SCRIPTS},
+ {_links("own")[1:]}, {_script_links()[1:]}, {ROBOTS}, {OTHERS},
+ firsts AS (SELECT canonical, min(page_id) AS page_id FROM canon GROUP BY canonical),
+ edges AS (SELECT f.canonical AS src, FALSE AS scripted, canon AS dst, kind FROM links JOIN firsts f USING (page_id)
+   UNION SELECT url, TRUE, canon, kind FROM s_links WHERE phase = 0),
+ steps AS (SELECT src, scripted, dst, FALSE AS to_script FROM edges WHERE kind <> 'javascript'
+   UNION SELECT src, scripted, unnest([dst, replace(dst, '.min.js', '.js')]), TRUE FROM edges WHERE kind = 'javascript'),
+ outside AS (SELECT seed_id, url FROM robots WHERE url IS NOT NULL UNION SELECT seed_id, p.url FROM p JOIN seeds USING (host) UNION SELECT seed_id, url FROM others),
+ begun AS (SELECT seed_id, s.scope, canonical AS url FROM seeds s JOIN canon c ON c.page_id = s.seed_id
+   UNION SELECT o.seed_id, s.scope, {_canonical(_printed('o.url'))} FROM outside o JOIN seeds s USING (seed_id)
+     WHERE regexp_matches(o.url, s.scope) AND NOT regexp_matches(o.url, {_q(STATIC)}) AND NOT regexp_matches(o.url, {_q(EXCLUDED)})),
+ walk(seed_id, scope, url, scripted, round) AS (
+   SELECT seed_id, scope, url, FALSE, 1 FROM begun WHERE url IS NOT NULL
+   UNION
+   SELECT w.seed_id, w.scope, e.dst, e.to_script, w.round + 1 FROM walk w JOIN steps e ON e.src = w.url AND e.scripted = w.scripted
+   WHERE w.round <= 5 AND regexp_matches(e.dst, w.scope) AND NOT regexp_matches(e.dst, {_q(STATIC)}) AND NOT regexp_matches(e.dst, {_q(EXCLUDED)}))
+"""
+
 ORACLES = {
     "load_targets": f"{BASE}, {TARGETS} SELECT seed_id, raw FROM tgt UNION ALL SELECT seed_id, seed_url FROM seeds",
     "normalize_targets": f"""{BASE}, {TARGETS} SELECT seed_id, CASE WHEN raw LIKE '%://%' THEN raw ELSE 'https://' || raw END AS url,
@@ -318,6 +399,8 @@ ORACLES = {
     "all_findings": f"{FOUND} SELECT seed_id, kind, input, source, type, output, status, length FROM found",
     "crawl_frontier": f"{CRAWL} SELECT seed_id, f.page_id, url, CAST(depth AS INT) AS depth FROM reached r JOIN firsts f ON f.canonical = r.url",
     "crawl_unlimited": f"{UNLIMITED} SELECT seed_id, f.page_id, url FROM reached r JOIN firsts f ON f.canonical = r.url",
+    "all_findings_whole": f"{WHOLE} SELECT * FROM whole",
+    "crawl_seeded": f"{SEEDED} SELECT seed_id, lower(url) AS url_key, scripted, CAST(min(round) AS INT) AS round FROM walk GROUP BY 1, 2, 3",
     "crawl_depths_unlimited": f"{UNLIMITED} SELECT seed_id, lower(url) AS url_key, CAST(min(round) AS INT) AS round FROM reached GROUP BY 1, 2",
     "crawl_depths": f"{CRAWL} SELECT seed_id, lower(url) AS url_key, CAST(min(round) AS INT) AS round FROM reached GROUP BY 1, 2",
     "multi_seed_findings": f"""SELECT * FROM ({FOUND} SELECT seed_id, kind, count(*) AS findings FROM found GROUP BY 1, 2)
@@ -346,6 +429,9 @@ ORACLES = {
         ).split()
     )
     + " FROM found GROUP BY seed_id",
+    "findings_summary_whole": f"{WHOLE} SELECT seed_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k.replace('-', '_')}" for k in KINDS)
+    + " FROM whole GROUP BY seed_id",
     "stream_dedup": f"{FOUND} SELECT seed_id, CASE WHEN kind IN ('url', 'upload-form') THEN kind WHEN kind = 'subdomains' THEN kind ELSE set_name END AS set_name, key FROM found",
     "stream_sink": f"""{FOUND} SELECT replace(regexp_extract(input, '^https?://([^/?#]+)', 1), '.', '_') AS host_key,
       sum(CASE WHEN kind = 'subdomains' THEN 2 ELSE 1 END)::BIGINT AS lines FROM found GROUP BY 1""",

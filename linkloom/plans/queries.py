@@ -14,6 +14,7 @@ from . import discovery
 SKIPPED_LENGTHS = tuple(range(1000, 2000))
 SMALL_SCAN = 4096
 EXCLUDED = r"/(the|and|la|de)[a-z]*\z"
+EXCLUDED_ANY_CASE = "(?i)" + EXCLUDED  # so that all spellings of a URL, which are one claim, fare alike
 INCLUDED = r"/(en|fr)/"
 INCLUDED_DOMAIN = "spam-farm.example.org"
 CRAWL_DEPTH = 4
@@ -440,6 +441,41 @@ def all_findings(spark, folder):
     return found.select("seed_id", "kind", "input", "source", "type", "output", "status", "length")
 
 
+def _listed(pages: DataFrame, seeds: DataFrame) -> dict[str, DataFrame]:
+    """URLs of robots files, sitemaps and archives by the kind of finding that they are."""
+    maps = _with_seed(fixtures.sitemaps(pages), pages)
+    archives = ingest.archive_union(
+        seeds.withColumn("archive_domain", F.col("domain")),
+        ingest.snapshot_urls(fixtures.archive_cdx(pages)),
+        ingest.index_urls(fixtures.archive_lines(pages)),
+        ingest.report_urls(fixtures.archive_report(pages)),
+        ingest.paged_urls(fixtures.archive_paged(pages)),
+    )
+    return {
+        "robots": ingest.robots_urls(_with_seed(fixtures.robots(pages), pages), seeds).select("seed_id", "url"),
+        "sitemap": ingest.sitemap_urls(maps).select("seed_id", "url").unionByName(ingest.sitemap_index_urls(maps).select("seed_id", "url")),
+        "other-sources": archives.select("seed_id", "url"),
+    }
+
+
+def _whole_findings(spark, folder) -> DataFrame:
+    pages = _pages(spark, folder)
+    seeds = _host_seeds(pages)
+    rich = fixtures.pages_own_script(fixtures.pages_rich(pages))
+    shown = rich.select("page_id", "url", urls.url_host(F.col("url")).alias("host"), F.octet_length("html").alias("raw_length"))
+    shown = shown.withColumns({"status": F.lit(200), "content_type": F.lit("text/html")})
+    shown = scope.attach_seeds(shown, seeds).where(scope.in_scope(F.col("url")))
+    return discovery.whole_findings(
+        rich, seeds, fixtures.page_scripts(pages), fixtures.network_log(pages, seeds), _listed(pages, seeds), frontier.render_candidates(shown, seeds)
+    )
+
+
+def all_findings_whole(spark, folder):
+    """Findings of all producers: pages, scripts, rendered pages, robots files, sitemaps and archives."""
+    found = _whole_findings(spark, folder)
+    return found.select("seed_id", "kind", "input", "source", "type", "output", "status", "length")
+
+
 # Iteration
 
 
@@ -468,6 +504,20 @@ def crawl_depths_unlimited(spark, folder):
     return _crawl(spark, folder, 0).groupBy("seed_id", key).agg(F.min("round").alias("round"))
 
 
+def crawl_seeded(spark, folder):
+    """Rounds that start from robots files, sitemaps, archives and requests too, and go through script bodies."""
+    pages = _pages(spark, folder)
+    seeds = _host_seeds(pages)
+    graph = frontier.site_graph(fixtures.pages_own_script(pages), fixtures.page_scripts(pages))
+    starts = ingest.network_urls(fixtures.network_log(pages, seeds), seeds)
+    for rows in _listed(pages, seeds).values():
+        starts = starts.unionByName(rows)
+    known = frontier.distinct_pages(pages)
+    visits = frontier.crawl(graph, known, discovery.seed_columns(seeds), exclude=EXCLUDED_ANY_CASE, starts=starts)
+    key = dedup.seen_key(F.col("url")).alias("url_key")
+    return visits.groupBy("seed_id", key, "scripted").agg(F.min("round").alias("round"))
+
+
 def multi_seed_findings(spark, folder):
     pages = _pages(spark, folder)
     apexes = _apex_seeds(pages).withColumn("seed_id", -F.col("seed_id") - 1)
@@ -535,6 +585,11 @@ def findings_summary(spark, folder):
     return reports.kind_summary(_rich_findings(spark, folder))
 
 
+def findings_summary_whole(spark, folder):
+    """Counts of every kind, from all producers."""
+    return reports.kind_summary(_whole_findings(spark, folder))
+
+
 # Streams: run to the end of the stored input, then read back what was written.
 
 
@@ -575,10 +630,10 @@ href_links script_assets form_pages upload_form_pages quoted_links asset_quoted_
 unminified_variants subdomains s3_buckets url_findings link_edges
 seen_dedup exact_unique kind_precedence canonical_dedup
 new_frontier registrable_domain pages_by_seed frontier_fetch
-all_findings
-crawl_frontier crawl_unlimited crawl_depths crawl_depths_unlimited multi_seed_findings render_candidates blocked_resources
+all_findings all_findings_whole
+crawl_frontier crawl_unlimited crawl_depths crawl_depths_unlimited crawl_seeded multi_seed_findings render_candidates blocked_resources
 broken_links status_report js_inventory bundle_fingerprint historical_endpoints admin_forms subdomain_enum
-findings_summary
+findings_summary findings_summary_whole
 stream_findings stream_dedup stream_sink stream_frontier
 """.split()
 

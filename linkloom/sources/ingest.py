@@ -146,14 +146,21 @@ def wellknown_candidates(seeds: DataFrame) -> DataFrame:
     return rows.select("seed_id", "path", F.concat("url", "path").alias("candidate"))
 
 
-def network_urls(log: DataFrame, seeds: DataFrame) -> DataFrame:
-    """In-scope requests of rendered pages, once per seed and URL ignoring case.
-
-    The first one in log order is kept, as it was written.
-    """
+def network_requests(log: DataFrame, seeds: DataFrame) -> DataFrame:
+    """In-scope requests of rendered pages: ``seed_id, key, page_id, page_url, request_url``, repeats kept."""
     wanted = log.where(F.col("resource_type").isin(patterns.REQUEST_RESOURCES))
     wanted = wanted.withColumn("_parts", urls.split_url(F.col("request_url"))).where("_parts is not null")
     scoped = lookup_join(wanted, seeds.select("seed_id", "scope_host", "scope_subs", "scope_re"), "seed_id")
     scoped = scoped.where(in_scope(F.col("request_url"))).withColumn("key", F.lower("request_url"))
-    first = first_seen(scoped.select("seed_id", "key", "page_id", "request_url"), ["seed_id", "key"], ["page_id"])
+    return scoped.select("seed_id", "key", "page_id", "page_url", "request_url")
+
+
+def network_urls(log: DataFrame, seeds: DataFrame) -> DataFrame:
+    """In-scope requests of rendered pages, once per seed and URL ignoring case.
+
+    The first one in log order is kept, as it was written. What pages link to as well is not looked at here, see
+    ``discovery.whole_findings``.
+    """
+    requests = network_requests(log, seeds).select("seed_id", "key", "page_id", "request_url")
+    first = first_seen(requests, ["seed_id", "key"], ["page_id"])
     return first.select("seed_id", F.col("request_url").alias("url"))
