@@ -5,10 +5,13 @@ enters a shuffle. ``resolve`` turns tokens into URLs and ``classify`` names what
 each row is.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, patterns, text, urls
+from .joins import spread
 
 SCANS = ("response", "host", "bucket", "quoted", "tag")
 TEXT_PHASE, TAG_PHASE = 0, 1
@@ -72,13 +75,15 @@ def scan(
     text_gate: Column | None = None,
     scripts: bool = False,
     rewrite_over: int | None = None,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per token found by the chosen scans, with ``scan``, ``ord`` and ``token``.
 
     ``pages`` comes from :func:`responses`, with any further columns to carry
     along. ``text_gate`` switches the text scans of a row off. With ``scripts`` the bodies are
     script files: no content-type gate and no tags. Bodies over ``rewrite_over`` bytes are broken
-    after punctuation before the link scan; by default none is.
+    after punctuation before the link scan; by default none is. ``attach`` is applied to the pages between scan and
+    tokens, when bodies are gone and each page is one row.
     """
     success = is_success(F.col("status"))
     if scripts:
@@ -118,6 +123,8 @@ def scan(
         df = urls.with_resolved(df, "base", "_base_ref", "_doc")
         df = df.withColumn("tag_base", F.coalesce(urls.split_url(F.col("_doc")), F.col("base")))
         df = df.drop("_base_ref", "_doc", "_doc_canon", "_doc_path", "_doc_absolute")
+    if attach is not None:
+        df = attach(df)
     kept = [c for c in df.columns if c != "_found"]
     return df.select(*kept, F.inline_outer("_found")).where("scan is not null")
 
@@ -209,7 +216,7 @@ def link_edges(pages: DataFrame, scripts: bool = False) -> DataFrame:
     ``dst`` is NULL for tag links that stand for the seed; no scope is applied. With ``scripts``
     the bodies are script files.
     """
-    rows = classify(resolve(scan(responses(pages), ("quoted", "tag"), scripts=scripts)), scripts)
+    rows = classify(resolve(scan(responses(spread(pages, "page_id")), ("quoted", "tag"), scripts=scripts)), scripts)
     rows = rows.where(F.col("kind").isin("href", "linkfinder", "javascript"))
     rows = rows.where(F.col("canon").isNotNull() | (F.col("kind") == "href"))
     return rows.select(

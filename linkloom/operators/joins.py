@@ -32,3 +32,15 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", l
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     return left.join(small.withColumn("_salt", salts), [on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by ``key`` where fewer partitions are read than there are cores.
+
+    A few files of a table would otherwise keep a few cores busy with what costs most, the scan of the bodies. What is
+    moved is bounded by one partition for each core; larger inputs and streams are left as they lie.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -133,20 +133,28 @@ def _attach_keys(host: Column) -> Column:
     return F.concat(F.array(F.concat(F.lit("h:"), host)), suffixes)
 
 
+def host_map(hosts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Pairs of ``host`` and the seeds whose scope covers it, for the distinct hosts of a table.
+
+    Hosts look themselves up under their name and each suffix of it, so the join yields the matching pairs
+    and nothing else.
+    """
+    seeds = seeds.select(*[c for c in seeds.columns if c != "host"])
+    hosts = hosts.select("host").where("host <> ''").distinct()
+    keyed = hosts.withColumn("attach_key", F.explode_outer(_attach_keys(F.col("host"))))
+    return lookup_join(keyed, seeds, "attach_key").drop("attach_key")
+
+
 def attach_seeds(pages: DataFrame, seeds: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Pair each page with the seeds whose scope covers its host.
 
-    ``pages`` needs ``host``; ``seeds`` comes from :func:`scope_rules`. Pages look
-    themselves up under their host and each suffix of it, so the join yields the
-    matching pairs and nothing else. A small seed table is broadcast; a large one
-    meets the distinct hosts first, and only that map is joined to the pages. A
-    stream has no distinct hosts yet and joins the table directly.
+    ``pages`` needs ``host``; ``seeds`` comes from :func:`scope_rules`. A small seed table is broadcast to the
+    suffixes of each page's host; a large one meets the distinct hosts first (:func:`host_map`), and only that map is joined to
+    the pages. A stream has no distinct hosts yet and joins the table directly.
     """
     seeds = seeds.select(*[c for c in seeds.columns if c not in pages.columns])
     small = is_small(seeds, limit)
     if small or pages.isStreaming:
         keyed = pages.withColumn("attach_key", F.explode_outer(_attach_keys(F.col("host"))))
         return keyed.join(F.broadcast(seeds) if small else seeds, "attach_key").drop("attach_key")
-    hosts = pages.select("host").where("host <> ''").distinct()
-    keyed = hosts.withColumn("attach_key", F.explode_outer(_attach_keys(F.col("host"))))
-    return lookup_join(pages, keyed.join(seeds, "attach_key").drop("attach_key"), "host", limit=limit)
+    return lookup_join(pages, host_map(pages, seeds), "host", limit=limit)

@@ -1,13 +1,15 @@
 """Pages and seeds in, typed findings out."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text, urls
 from ..operators.dedup import first_seen
 from ..operators.extract import SCANS, classify, is_success, resolve, responses, scan
-from ..operators.joins import BROADCAST_BYTES, is_small, lookup_join
-from ..operators.scope import SCOPE_COLUMNS, attach_seeds, in_scope, in_scope_by_host
+from ..operators.joins import BROADCAST_BYTES, is_small, lookup_join, spread
+from ..operators.scope import SCOPE_COLUMNS, attach_seeds, host_map, in_scope, in_scope_by_host
 from ..session import materialized
 from ..schema import FINDING_COLUMNS
 from ..sources.ingest import network_requests
@@ -37,15 +39,18 @@ def raw_findings(
 ) -> DataFrame:
     """Findings before de-duplication.
 
-    Every body is scanned once, whatever the number of seeds whose scope covers it; only the
-    narrow token rows are joined to the seeds. ``strict`` compares hosts instead of running the
+    Every body is scanned once, whatever the number of seeds whose scope covers it. Which hosts are covered is
+    worked out first, from the URLs alone; a map that measures small enough leaves the pages of all other hosts out before
+    their bodies are read. Seeds are attached to pages, when their bodies are gone and their tokens are one array, never to
+    tokens. ``strict`` compares hosts instead of running the
     scope pattern on whole URLs. ``skip_lengths`` leaves out successful responses of these lengths.
     """
     covers = in_scope_by_host if strict else in_scope
     seeds = seed_columns(seeds)
     counted = ~F.col("length").isin(*skip_lengths) | ~is_success(F.col("status")) if skip_lengths else F.lit(True)
+    pages, attach = _covered(pages, seeds, limit)
     df = responses(pages).withColumn("_counted", counted)
-    tokens = attach_seeds(scan(df, scans, F.col("_counted"), scripts), seeds, limit)
+    tokens = scan(df, scans, F.col("_counted"), scripts, attach=attach)
     tokens = tokens.withColumn("page_in_scope", covers(F.col("url")))
     tokens = tokens.where(F.col("page_in_scope") | F.col("scan").isin("response", "tag"))
     tokens = tokens.where(F.col("_counted") | (F.col("scan") != "response"))
@@ -93,6 +98,19 @@ def raw_findings(
     )
 
 
+def _covered(pages: DataFrame, seeds: DataFrame, limit: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The pages to scan, and what attaches their seeds to them afterwards."""
+    if pages.isStreaming:
+        return pages, lambda rows: attach_seeds(rows, seeds, limit)
+    covered = materialized(host_map(pages.select(urls.url_host(F.col("url")).alias("host")), seeds))
+    if not is_small(covered, limit):
+        return spread(pages, "page_id"), lambda rows: lookup_join(rows, covered, "host", limit=limit)
+    known = covered.select(F.col("host").alias("_host")).distinct()
+    kept = spread(pages, "page_id").withColumn("_host", urls.url_host(F.col("url")))
+    kept = kept.join(F.broadcast(known), "_host", "left_semi").drop("_host")
+    return kept, lambda rows: rows.join(F.broadcast(covered), "host")
+
+
 def findings(pages: DataFrame, seeds: DataFrame, **options) -> DataFrame:
     """Every finding once per seed, first occurrence kept, link kinds sharing one memory."""
     return first_seen(raw_findings(pages, seeds, **options), FINDING_KEYS)
