@@ -1,9 +1,12 @@
 """Seeds, registrable domains and the scope rules that tie URLs to seeds."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..session import materialized
 from .joins import BROADCAST_BYTES, is_small, lookup_join
 
 SCOPE_COLUMNS = ["scope_host", "scope_subs", "scope_re"]
@@ -118,6 +121,108 @@ def in_scope_by_host(url: Column) -> Column:
     return F.coalesce((host == known) | under, F.lit(False))
 
 
+def asset_in_scope(url: Column, include: str | None = None, include_domain: str | None = None) -> Column:
+    """Script bodies may be fetched where either of the explicit scopes lets them; without one, where the row's scope does."""
+    allowed = None
+    if include is not None:
+        allowed = F.rlike(url, F.lit(include))
+    if include_domain is not None:
+        own = F.rlike(url, F.concat(F.lit("^https?://"), text.quote_pattern(F.lit(include_domain)), F.lit(r"(?::\d+)?(?:/|\z)")))
+        allowed = own if allowed is None else allowed | own
+    return in_scope(url) if allowed is None else F.coalesce(allowed, F.lit(False))
+
+
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern contains; empty where that is not certain.
+
+    Only what stands outside of groups, classes and alternatives counts, and nothing that may be repeated or left out.
+    """
+    runs, run, depth, at = [], "", 0, 0
+    if "(?i" in pattern or re.search(r"\(\?[a-z]*[ix]", pattern) or "\\Q" in pattern:
+        return ""
+    while at < len(pattern):
+        char, step, plain = pattern[at], 1, None
+        if char == "\\":
+            following = pattern[at + 1 : at + 2]
+            if not following or following.isalnum():
+                if following not in tuple("dDwWsSbBAzZ"):
+                    return ""  # a numbered or named construct: leave it to the pattern itself
+                step = 2
+            else:
+                step, plain = 2, following
+        elif char == "[":
+            end = pattern.find("]", at + 2)
+            if end < 0 or "[" in pattern[at + 1 : end] or "&&" in pattern[at + 1 : end] or "\\" in pattern[at + 1 : end]:
+                return ""
+            step = end - at + 1
+        elif char == "(":
+            depth += 1
+        elif char == ")":
+            depth -= 1
+        elif char == "|" and not depth:
+            return ""
+        elif char == "{":
+            step = pattern.find("}", at) - at + 1
+            if step <= 0:
+                return ""
+        elif char not in "^$.*+?|":
+            plain = char
+        following = pattern[at + step : at + step + 1]
+        if plain is not None and not depth and following not in tuple("*?{"):
+            run += plain
+            if following == "+":
+                runs.append(run)
+                run = ""
+        elif char not in "^" or run:
+            runs.append(run)
+            run = ""
+        at += step
+    return max([*runs, run], key=len)
+
+
+GRAM = 4  # characters of a pattern's required literal that URLs are looked up by
+
+
+def pattern_index(seeds: DataFrame) -> DataFrame:
+    """``scope_re, gram``: each distinct pattern of the seeds' scopes with a piece that every URL in it contains."""
+    patterns = seeds.where("scope_host is null and scope_re is not null").select("scope_re").distinct()
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(gram=[required_literal(p)[:GRAM] for p in batch["scope_re"]])
+
+    return patterns.mapInPandas(run, "scope_re string, gram string")
+
+
+def _pieces(url: str, size: int) -> Column:
+    """All pieces of a URL that have so many characters."""
+    if size == 0:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(url) - size + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(F.col(url), i, F.lit(size)))
+
+
+def attach_by_pattern(rows: DataFrame, seeds: DataFrame, url: str = "url", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Pair rows with the seeds whose scope pattern their URL matches, on whatever host it lies.
+
+    A pattern that replaces the scope holds everywhere, so hosts can't find its seeds. Instead each URL meets, in an
+    equi-join on short pieces of text, the patterns that need a piece it contains, and only these
+    run. A pattern without a certain piece meets every URL, which it would have to be run on anyway. Many seeds
+    with one pattern cost one run.
+    """
+    index = materialized(pattern_index(seeds))
+    sizes = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # GRAM + 1 at most
+    if not sizes:
+        return rows.join(seeds.select(*[c for c in seeds.columns if c not in rows.columns]), F.lit(False))
+    keys = F.array_distinct(F.concat(*[_pieces(url, n) for n in sizes]))
+    keyed = rows.withColumn("gram", F.explode(keys))
+    met = lookup_join(keyed, index.withColumnRenamed("scope_re", "_pattern"), "gram", limit=limit).drop("gram")
+    met = met.where(F.rlike(F.col(url), F.col("_pattern")))
+    owners = seeds.where("scope_host is null").withColumn("_pattern", F.col("scope_re"))
+    owners = owners.select("_pattern", *[c for c in seeds.columns if c not in rows.columns])
+    return lookup_join(met, owners, "_pattern", limit=limit).drop("_pattern")
+
+
 def redirect_allowed(target: Column, base_host: Column, subs: Column) -> Column:
     """A redirect hop stays on its base host, or under it when subdomains count."""
     host = urls.url_host(target)

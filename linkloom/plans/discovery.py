@@ -9,7 +9,7 @@ from ..functions import patterns, text, urls
 from ..operators.dedup import first_seen
 from ..operators.extract import SCANS, classify, is_success, resolve, responses, scan
 from ..operators.joins import BROADCAST_BYTES, is_small, lookup_join, spread
-from ..operators.scope import SCOPE_COLUMNS, attach_seeds, host_map, in_scope, in_scope_by_host
+from ..operators.scope import SCOPE_COLUMNS, attach_by_pattern, attach_seeds, host_map, in_scope, in_scope_by_host
 from ..session import materialized
 from ..schema import FINDING_COLUMNS
 from ..sources.ingest import network_requests
@@ -36,6 +36,7 @@ def raw_findings(
     skip_lengths: tuple[int, ...] = (),
     strict: bool = False,
     limit: int = BROADCAST_BYTES,
+    anywhere: bool = False,
 ) -> DataFrame:
     """Findings before de-duplication.
 
@@ -43,12 +44,13 @@ def raw_findings(
     worked out first, from the URLs alone; a map that measures small enough leaves the pages of all other hosts out before
     their bodies are read. Seeds are attached to pages, when their bodies are gone and their tokens are one array, never to
     tokens. ``strict`` compares hosts instead of running the
-    scope pattern on whole URLs. ``skip_lengths`` leaves out successful responses of these lengths.
+    scope pattern on whole URLs. ``skip_lengths`` leaves out successful responses of these lengths. With
+    ``anywhere`` a seed whose scope is a pattern has the pages that match it on all hosts, and not only those of its own domain.
     """
     covers = in_scope_by_host if strict else in_scope
     seeds = seed_columns(seeds)
     counted = ~F.col("length").isin(*skip_lengths) | ~is_success(F.col("status")) if skip_lengths else F.lit(True)
-    pages, attach = _covered(pages, seeds, limit)
+    pages, attach = _matched(pages, seeds, limit) if anywhere else _covered(pages, seeds, limit)
     df = responses(pages).withColumn("_counted", counted)
     tokens = scan(df, scans, F.col("_counted"), scripts, attach=attach)
     tokens = tokens.withColumn("page_in_scope", covers(F.col("url")))
@@ -111,6 +113,18 @@ def _covered(pages: DataFrame, seeds: DataFrame, limit: int) -> tuple[DataFrame,
     return kept, lambda rows: rows.join(F.broadcast(covered), "host")
 
 
+def _matched(pages: DataFrame, seeds: DataFrame, limit: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """As :func:`_covered`, where scopes that are patterns hold on every host."""
+    narrow = pages.select("page_id", "url").withColumn("host", urls.url_host(F.col("url")))
+    named, patterned = seeds.where("scope_host is not null"), seeds.where("scope_host is null")
+    rows = attach_by_pattern(narrow, patterned.drop("attach_key"), limit=limit)
+    met = materialized(rows.unionByName(attach_seeds(narrow, named, limit).select(*rows.columns)).drop("url", "host"))
+    if not is_small(met, limit):
+        return spread(pages, "page_id"), lambda found: lookup_join(found, met, "page_id", limit=limit)
+    kept = spread(pages, "page_id").join(F.broadcast(met.select("page_id").distinct()), "page_id", "left_semi")
+    return kept, lambda found: found.join(F.broadcast(met), "page_id")
+
+
 def findings(pages: DataFrame, seeds: DataFrame, **options) -> DataFrame:
     """Every finding once per seed, first occurrence kept, link kinds sharing one memory."""
     return first_seen(raw_findings(pages, seeds, **options), FINDING_KEYS)

@@ -336,6 +336,8 @@ ORACLES = {
     "include_filter": f"""{BASE} SELECT a.seed_id, page_id, 'include' AS mode FROM p JOIN apexes a ON p.apex = a.apex WHERE regexp_matches(url, {_q('/(en|fr)/')})
       UNION ALL SELECT a.seed_id, page_id, 'domain' FROM p, apexes a WHERE p.host = {_q(Q.INCLUDED_DOMAIN)}
       UNION ALL SELECT a.seed_id, page_id, 'assets' FROM p JOIN apexes a ON p.apex = a.apex WHERE regexp_matches(url, {_q('/(en|fr)/')}) OR p.host = {_q(Q.INCLUDED_DOMAIN)}""",
+    "include_anywhere": _findings("SELECT seed_id, seed_url, host, apex, '/(en|fr)/' AS scope FROM (" + APEX_SEEDS + ")", on="regexp_matches(x.url, s.scope)")
+    + "SELECT seed_id, kind, output FROM found WHERE kind IN ('url', 'href', 'linkfinder')",
     "exclude_filter": f"{PLAIN_LINKS} SELECT page_id, canon AS dst FROM links WHERE NOT regexp_matches(canon, '/(the|and|la|de)[a-z]*$')",
     "static_asset_filter": f"{BASE_LINKS} SELECT page_id, link FROM tags WHERE link IS NOT NULL AND NOT regexp_matches(link, {_q(STATIC)})",
     "kind_filter": f"{FOUND} SELECT seed_id, kind, output FROM found WHERE kind IN ('href', 'javascript')",

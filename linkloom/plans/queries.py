@@ -194,12 +194,20 @@ def include_filter(spark, folder):
     ):
         kept = scope.attach_seeds(rows, _scoped(pages, targets, **options)).where(scope.in_scope(F.col("url")))
         parts.append(kept.select("seed_id", "page_id", F.lit(mode).alias("mode")))
-    either = F.col("url").rlike(INCLUDED) | F.col("url").rlike(rf"^https?://{INCLUDED_DOMAIN}(?::\d+)?(?:/|\z)")
+    either = scope.asset_in_scope(F.col("url"), INCLUDED, INCLUDED_DOMAIN)
     assets = scope.attach_seeds(rows, _scoped(pages, targets)).where(either)
     parts.append(assets.select("seed_id", "page_id", F.lit("assets").alias("mode")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def include_anywhere(spark, folder):
+    """Findings of seeds whose scope is a pattern, on all hosts that it matches."""
+    pages = _pages(spark, folder)
+    seeds = _scoped(pages, fixtures.apex_targets(pages), include=INCLUDED)
+    found = discovery.findings(fixtures.pages_rich(pages), seeds, anywhere=True, scans=("response", "quoted", "tag"))
+    return found.where("kind in ('url', 'href', 'linkfinder')").select("seed_id", "kind", "output")
+
+
 def exclude_filter(spark, folder):
     edges = extract.link_edges(_pages(spark, folder))
     return edges.where(~F.col("dst").rlike(EXCLUDED)).select("page_id", "dst")
@@ -623,7 +631,7 @@ NAMES = """
 load_targets normalize_targets scan_pages wayback_urls commoncrawl_urls latest_index report_urls paged_urls
 robots_urls sitemap_urls sitemap_index_urls wellknown_candidates archive_union archive_host_match network_urls
 findings_json findings_text findings_quiet findings_by_host raw_bodies
-scope_filter scope_rules include_filter exclude_filter static_asset_filter kind_filter length_filter body_cap
+scope_filter scope_rules include_filter include_anywhere exclude_filter static_asset_filter kind_filter length_filter body_cap
 error_status_filter asset_status_filter content_type_gate noise_filter absolute_links asset_inventory
 redirect_scope in_scope_pages
 href_links script_assets form_pages upload_form_pages quoted_links asset_quoted_links asset_quoted_links_whole asset_feed

@@ -154,3 +154,40 @@ def test_union_without_scripts_is_the_page_findings(spark, seeds):
     columns = ["seed_id", "kind", "input", "source", "type", "output", "status", "length"]
     a, b = (sorted(map(str, x.select(*columns).collect())) for x in (discovery.whole_findings(pages, own), discovery.findings(pages, own)))
     assert a == b and a
+
+
+LITERALS = {
+    "/en/": "/en/", r"/(en|fr)/": "/", r"\.h\.com/a+b": ".h.com/a", "a|b": "", "(?i)admin": "", "ab?cd": "cd", "x{2}yz": "yz", r"^https://h\d+\.com$": "https://h",
+    "[ab]cde": "cde", r"a\pLb": "", "a.*long-part.*b": "long-part", "(abc)": "", "ab*": "a", "a[^/]+/x": "/x", r"q\Qa.b\E": "", "no+w": "no",
+}
+
+
+def test_literals_that_every_match_contains():
+    from linkloom.operators.scope import required_literal
+
+    assert {p: required_literal(p) for p in LITERALS} == LITERALS
+
+
+def test_include_pattern_holds_on_every_host(spark, seeds):
+    pages = stored(spark, ("https://h.com/", "<a href=/fr/x>n</a>"), ("https://other.org/en/b", "<a href=/en/c>c</a><a href=/d>d</a>"), ("https://h.com/en", "<a href=/en/e>e</a>"))
+    own = seeds("https://h.com/", include="/en/")
+    found = discovery.findings(pages, own, anywhere=True).where("kind in ('url', 'href')")
+    assert sorted((r.kind, r.output) for r in found.collect()) == [("href", "https://other.org/en/c"), ("url", "https://other.org/en/b")]
+
+
+def test_many_patterns_meet_urls_by_their_literals(spark):
+    rows = spark.createDataFrame([(i, f"https://h{i}.com/part{i % 50}x/") for i in range(200)], "page_id long, url string")
+    held = [(i, None, False, f"/part{i}x/") for i in range(1000)] + [(5000, None, False, r"h\d+\.net"), (5001, None, False, "(?i)H7[.]COM"), (5002, "h9.com", False, None)]
+    own = spark.createDataFrame(held, "seed_id long, scope_host string, scope_subs boolean, scope_re string")
+    met = scope.attach_by_pattern(rows, own)
+    assert sorted((r.page_id, r.seed_id) for r in met.collect()) == sorted([(i, i % 50) for i in range(200)] + [(7, 5001)])
+    assert "CartesianProduct" not in met._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_uncovered_hosts_are_not_scanned(spark, seeds):
+    pages = stored(spark, ("https://h.com/", "a"), ("https://www.h.com/", "b"), ("https://other.org/", "c"), ("not a url", "d"))
+    kept, _ = discovery._covered(pages, discovery.seed_columns(seeds("h.com")), 1 << 26)
+    assert sorted(r.url for r in kept.collect()) == ["https://h.com/", "https://www.h.com/"]
+    columns = ["seed_id", "kind", "output"]
+    small, large = (sorted(map(tuple, discovery.findings(pages, seeds("h.com"), limit=n).select(*columns).collect())) for n in (1 << 26, -1))
+    assert small == large and small
