@@ -1,11 +1,14 @@
 """Finding records as JSON, text or bare payloads, and append sinks per host."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FINDING_COLUMNS
+from ..session import materialized
+from .joins import lookup_join
 
 HOST_FILES = 8
+FILE_BYTES = 128 << 20
 
 # The label of a kind in text output, where it differs from the kind.
 _LABELS = {"aws": "aws-s3", "raw": "Raw"}
@@ -60,6 +63,27 @@ def write_by_host(lines: DataFrame, path: str, mode: str = "append") -> None:
     spread.select("host_key", "line").write.mode(mode).partitionBy("host_key").text(path)
 
 
+def append_by_host(lines: DataFrame, path: str, run: str, file_bytes: int = FILE_BYTES) -> None:
+    """Append the lines of one run under a folder per seed host, in files of about ``file_bytes``.
+
+    The bytes of each host are measured first; a host is cut by a hash of its lines into as many files as it needs, so
+    small hosts get one file and a host with most of the findings is written by many tasks. A run owns
+    its folder: the same run again replaces what it wrote and adds nothing. Lines of no host go to ``_``.
+    """
+    lines = materialized(lines.select(F.coalesce("host_key", F.lit("_")).alias("host_key"), "line"))
+    sizes = lines.groupBy("host_key").agg(F.ceil(F.sum(F.octet_length("line") + 1) / file_bytes).cast("int").alias("files"))
+    dealt = lookup_join(lines, sizes, "host_key").withColumn("_file", F.pmod(F.xxhash64("line"), F.col("files")))
+    whole = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0] or 0
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // file_bytes))
+    dealt.repartition(parts, F.xxhash64("host_key", "_file")).select("host_key", "line").write.mode("overwrite").partitionBy("host_key").text(f"{path}/run={run}")
+
+
+def read_by_host(spark: SparkSession, path: str, host: str | None = None) -> DataFrame:
+    """``line, run, host_key`` of all runs; of one host only its folders are read."""
+    lines = spark.read.schema("line string, run string, host_key string").text(path)
+    return lines if host is None else lines.where(F.col("host_key") == host)
+
+
 def raw_bodies(bodies: DataFrame) -> DataFrame:
     """Decoded bodies of in-scope responses as raw records."""
     return bodies.select("seed_id", "page_id", "url", F.concat(F.lit("[Raw] - \n"), "decoded", F.lit("\n")).alias("line"))

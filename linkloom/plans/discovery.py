@@ -100,6 +100,21 @@ def raw_findings(
     )
 
 
+def in_scope_bodies(pages: DataFrame, seeds: DataFrame, skip_lengths: tuple[int, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Decoded bodies of successful responses whose own URL is in the scope of a seed, one row for each such seed.
+
+    Hosts decide which pages are looked at, then scope, status and raw size, and only what is left is decoded. A body
+    meets its seeds where it was read, by a broadcast map of hosts; only a map beyond ``limit`` moves bodies.
+    """
+    pages, attach = _covered(pages, seed_columns(seeds), limit)
+    rows = pages.withColumn("host", urls.url_host(F.col("url")))
+    if "status" in rows.columns:
+        rows = rows.where(is_success(F.col("status")))
+    rows = responses(attach(rows).where(in_scope(F.col("url"))))
+    rows = urls.pinned(rows, "decoded").where("decoded is not null")
+    return rows.where(~F.col("length").isin(*skip_lengths)) if skip_lengths else rows
+
+
 def _covered(pages: DataFrame, seeds: DataFrame, limit: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The pages to scan, and what attaches their seeds to them afterwards."""
     if pages.isStreaming:

@@ -359,6 +359,8 @@ ORACLES = {
       SELECT page_id, base_host, target_url FROM r WHERE target_url IS NOT NULL AND (regexp_extract(target_url, '^https?://([^/?#:]+)', 1) = base_host
         OR (page_id % 8 = 0 AND ends_with(regexp_extract(target_url, '^https?://([^/?#:]+)', 1), '.' || base_host)))""",
     "in_scope_pages": f"{BASE} SELECT s.seed_id, page_id, url FROM p JOIN seeds s USING (host) WHERE regexp_matches(url, scope)",
+    "in_scope_responses": f"""{BASE}, m AS (SELECT s.seed_id, page_id, url, CAST(strlen({_decode('html')}) AS INT) AS length FROM meta JOIN seeds s USING (host)
+      WHERE status = 200 AND regexp_matches(url, scope)) SELECT * FROM m WHERE length NOT BETWEEN 1000 AND 1999""",
     "href_links": f"{TAG_ONLY} SELECT seed_id, output, page_id FROM found WHERE kind = 'href'",
     "script_assets": f"{TAG_ONLY} SELECT seed_id, output, in_scope AS crawlable FROM found WHERE kind = 'javascript'",
     "form_pages": f"{FOUND} SELECT seed_id, output FROM found WHERE kind = 'form'",
@@ -419,6 +421,8 @@ ORACLES = {
     "js_inventory": f"{FOUND} SELECT regexp_extract(output, '^https?://([^/?#]+)', 1) AS host, count(*) AS scripts FROM found WHERE kind = 'javascript' GROUP BY 1",
     "bundle_fingerprint": f"{FOUND} SELECT seed_id, output FROM found WHERE kind = 'javascript' AND regexp_matches(output, '\\.(min\\.js|bundle\\.js)')",
     "historical_endpoints": f"{ARCHIVE} SELECT seed_id, url FROM arch WHERE regexp_matches(url, '(?i)api|v1|v2|admin')",
+    "historical_endpoints_admin": f"""{BASE}, old AS (SELECT page_id, apex, CASE WHEN page_id % 4 = 0 THEN regexp_replace(url, '(^https?://[^/]+)/', '\\1/Admin/') ELSE url END AS url FROM p)
+      SELECT DISTINCT a.seed_id, url FROM old JOIN apexes a ON a.apex = old.apex WHERE regexp_matches(url, '(?i)api|v1|v2|admin')""",
     "admin_forms": f"""{BASE}, m AS (SELECT host, page_id, regexp_replace(url, '(^https?://[^/]+)/', '\\1/Admin/') AS output FROM p WHERE page_id % 12 = 0)
       SELECT s.seed_id, k AS kind, output FROM m JOIN seeds s USING (host), (SELECT unnest(['form', 'upload-form']) AS k) WHERE k = 'form' OR page_id % 6 = 0""",
     "subdomain_enum": f"{FOUND_APEX} SELECT regexp_extract(input, '^https?://([^/?#]+)', 1) AS domain, count(DISTINCT output) AS subdomains FROM found WHERE kind = 'subdomains' GROUP BY 1",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text, urls
 from ..operators import dedup, extract, frontier, joins, reports, scope, sinks
-from ..session import materialized
+from ..session import materialized, scratch_path
 from ..sources import fixtures, ingest
 from ..streaming import jobs as streams
 from . import discovery
@@ -150,22 +150,20 @@ def findings_quiet(spark, folder):
 def findings_by_host(spark, folder):
     lines = sinks.formatted(_rich_findings(spark, folder))
     lines = lines.withColumn("host_key", sinks.host_key(urls.url_host(F.col("input"))))
-    return lines.groupBy("host_key").agg(F.count(F.lit(1)).alias("lines"))
+    path = scratch_path(spark, "by-host")
+    sinks.append_by_host(lines, path, "first")
+    return sinks.read_by_host(spark, path).groupBy("host_key").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def raw_bodies(spark, folder):
-    bodies = sinks.raw_bodies(_in_scope_bodies(_pages(spark, folder)))
+    pages = _pages(spark, folder)
+    bodies = sinks.raw_bodies(discovery.in_scope_bodies(pages, _host_seeds(pages)))
     return bodies.select("seed_id", "page_id", "line")
 
 
 # Filters
 
 
-def _in_scope_bodies(pages: DataFrame) -> DataFrame:
-    rows = urls.pinned(scope.attach_seeds(extract.responses(pages), _host_seeds(pages)), "decoded")
-    return rows.where(scope.in_scope(F.col("url")) & F.col("decoded").isNotNull())
-
-
 def scope_filter(spark, folder):
     pages = _pages(spark, folder)
     edges = extract.link_edges(fixtures.pages_rich(pages)).where("dst is not null")
@@ -291,7 +289,15 @@ def redirect_scope(spark, folder):
 
 
 def in_scope_pages(spark, folder):
-    return _in_scope_bodies(_pages(spark, folder)).select("seed_id", "page_id", "url")
+    pages = _pages(spark, folder)
+    return discovery.in_scope_bodies(pages, _host_seeds(pages)).select("seed_id", "page_id", "url")
+
+
+def in_scope_responses(spark, folder):
+    """As in_scope_pages, where statuses and lengths leave responses out as well."""
+    pages = _pages(spark, folder)
+    rows = discovery.in_scope_bodies(fixtures.pages_meta(pages), _host_seeds(pages), SKIPPED_LENGTHS)
+    return rows.select("seed_id", "page_id", "url", "length")
 
 
 # Extraction
@@ -575,10 +581,25 @@ def historical_endpoints(spark, folder):
     return reports.keyword_urls(archive_union(spark, folder))
 
 
+def _admin_url():
+    admin = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", r"(^https?://[^/]+)/", "$1/Admin/"))
+    return F.coalesce(admin, "url")
+
+
+def historical_endpoints_admin(spark, folder):
+    """As historical_endpoints, over archives in which every fourth page lies under an administrative path."""
+    pages = _pages(spark, folder)
+    seeds = _apex_seeds(pages).withColumn("archive_domain", F.col("host"))
+    old = pages.withColumn("url", _admin_url())
+    found = ingest.archive_union(
+        seeds, ingest.snapshot_urls(fixtures.archive_cdx(old)), ingest.index_urls(fixtures.archive_lines(old)), ingest.report_urls(fixtures.archive_report(old))
+    )
+    return reports.keyword_urls(found)
+
+
 def admin_forms(spark, folder):
     pages = _pages(spark, folder)
-    admin = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", r"(^https?://[^/]+)/", "$1/Admin/"))
-    rich = fixtures.pages_rich(pages).withColumn("url", F.coalesce(admin, "url"))
+    rich = fixtures.pages_rich(pages).withColumn("url", _admin_url())
     found = discovery.findings(rich, _host_seeds(pages), scans=("tag",))
     found = found.where(F.col("kind").isin("form", "upload-form"))
     return reports.keyword_urls(found, "output", reports.ADMIN_WORD).select("seed_id", "kind", "output")
@@ -633,14 +654,14 @@ robots_urls sitemap_urls sitemap_index_urls wellknown_candidates archive_union a
 findings_json findings_text findings_quiet findings_by_host raw_bodies
 scope_filter scope_rules include_filter include_anywhere exclude_filter static_asset_filter kind_filter length_filter body_cap
 error_status_filter asset_status_filter content_type_gate noise_filter absolute_links asset_inventory
-redirect_scope in_scope_pages
+redirect_scope in_scope_pages in_scope_responses
 href_links script_assets form_pages upload_form_pages quoted_links asset_quoted_links asset_quoted_links_whole asset_feed
 unminified_variants subdomains s3_buckets url_findings link_edges
 seen_dedup exact_unique kind_precedence canonical_dedup
 new_frontier registrable_domain pages_by_seed frontier_fetch
 all_findings all_findings_whole
 crawl_frontier crawl_unlimited crawl_depths crawl_depths_unlimited crawl_seeded multi_seed_findings render_candidates blocked_resources
-broken_links status_report js_inventory bundle_fingerprint historical_endpoints admin_forms subdomain_enum
+broken_links status_report js_inventory bundle_fingerprint historical_endpoints historical_endpoints_admin admin_forms subdomain_enum
 findings_summary findings_summary_whole
 stream_findings stream_dedup stream_sink stream_frontier
 """.split()

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import urls
 from ..operators import sinks
-from ..plans.discovery import FINDING_KEYS, findings, raw_findings
-from ..session import scratch_path
+from ..plans.discovery import FINDING_KEYS, raw_findings
+from ..session import materialized, scratch_path
 
+VISITED_PARTS = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,13 +43,15 @@ def stream_dedup(found: DataFrame, event_time: str | None = None, delay: str = "
     return found.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(FINDING_KEYS)
 
 
-def _finish(writer, spark: SparkSession, place: str) -> None:
-    """Run to the end of what has arrived. Progress lies beside the output, so a later run goes on from there."""
+def _finish(writer, spark: SparkSession, place: str) -> list:
+    """Run to the end of what has arrived; the batches' progress. It lies beside the output, so a later run goes on from there."""
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         query = writer.option("checkpointLocation", f"{place}/progress")
-        query.trigger(availableNow=True).start().awaitTermination()
+        running = query.trigger(availableNow=True).start()
+        running.awaitTermination()
+        return running.recentProgress
     finally:
         if provider is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -101,18 +104,26 @@ def run_frontier(
     place: str | None = None,
     **arrival,
 ) -> DataFrame:
-    """URLs for a fetcher: links of each batch that are in no visited page and no earlier batch."""
+    """URLs for a fetcher: links of each batch that are in no visited page and no earlier batch.
+
+    What earlier batches gave is state of the stream, looked up by key, so a batch reads its own pages and not
+    what was written before. Visited URLs lie in ``VISITED_PARTS`` parts by a hash of the URL; a batch reads the
+    parts that its links hit. A key belongs to its first arrival, visited or not.
+    """
     place = place or scratch_path(spark, "frontier")
+    known = scratch_path(spark, "visited")
+    part = F.pmod(F.xxhash64("seed_id", "url"), F.lit(VISITED_PARTS)).cast("int")
+    parted = visited.select("seed_id", "url").distinct().withColumn("part", part)
+    parted.repartition("part").write.partitionBy("part").parquet(known)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        links = findings(prepare(batch), seeds, scans=("quoted", "tag")).where("set_name = 'link'")
-        links = links.select("seed_id", F.col("output").alias("url"), F.lower("output").alias("key"))
-        fresh = links.join(visited.select("seed_id", "url").distinct(), ["seed_id", "url"], "left_anti")
-        if batch_id:
-            earlier = spark.read.schema("seed_id long, url string, key string, batch_id int").parquet(f"{place}/rows")
-            earlier = earlier.where(F.col("batch_id") < batch_id).select("seed_id", "key").distinct()
-            fresh = fresh.join(earlier, ["seed_id", "key"], "left_anti")
+        links = materialized(batch.withColumn("part", part))
+        hit = [r.part for r in links.select("part").distinct().collect()]  # VISITED_PARTS at most
+        old = spark.read.schema("seed_id long, url string, part int").parquet(known).where(F.col("part").isin(hit))
+        fresh = links.join(old, ["part", "seed_id", "url"], "left_anti").drop("part")
         fresh.write.mode("overwrite").parquet(f"{place}/rows/batch_id={batch_id}")
 
-    _finish(page_stream(spark, path, **arrival).writeStream.foreachBatch(write), spark, place)
+    found = stream_findings(prepare(page_stream(spark, path, **arrival)), seeds, scans=("quoted", "tag")).where("set_name = 'link'")
+    links = stream_dedup(found).select("seed_id", F.col("output").alias("url"), "key")
+    _finish(links.writeStream.foreachBatch(write), spark, place)
     return spark.read.schema("seed_id long, url string, key string, batch_id int").parquet(f"{place}/rows")

@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-A selection that touches every module; ``tests/compare.py`` runs all of them.
-"""
+"""All registered queries of the core against their SQL on the smallest tables."""
 
 import os
 
@@ -11,18 +8,16 @@ import __spark_entry__ as contract
 from compare import differences, tables
 from places import SMALL
 
-CHECKED = """
-normalize_targets paged_urls robots_urls sitemap_index_urls archive_union network_urls findings_text raw_bodies
-scope_filter include_filter noise_filter redirect_scope quoted_links asset_quoted_links subdomains
-new_frontier registrable_domain all_findings crawl_frontier render_candidates broken_links admin_forms
-stream_dedup stream_sink stream_frontier
-""".split()
+CHECKED = sorted(contract.QUERIES)
+# No URL of the test tables has one of the words; historical_endpoints_admin has.
+EMPTY = ["historical_endpoints"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_agrees_with_sql(spark, name):
     more, less, ours, _ = differences(spark, tables(SMALL), SMALL, contract.queries()[name], contract.oracle_sql()[name])
-    assert (more[:3], less[:3]) == ([], []) and ours > 0
+    assert (more[:3], less[:3]) == ([], [])
+    assert ours > 0 or name in EMPTY
 
 
 def test_scripts_of_all_pages_are_scanned(spark):
