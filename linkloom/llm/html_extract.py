@@ -52,7 +52,13 @@ SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list consent contentinfo cookie cookies "
     "copyright dialog disqus footer form header login menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination "
     "popup promo promotion promoted recommended related search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe "
-    "subscription toolbar topbar widget alert complementary cookiebar masthead reply replies respond gdpr".split()
+    "subscription toolbar topbar widget alert complementary cookiebar masthead reply replies respond responses discussion gdpr".split()
+)
+#: Words that may stand beside one of these in a joined name, as in "related-posts"; "related-work" is no such name.
+PART_WORDS = frozenset(
+    "area bar big block bottom box btn button buttons card center col column container fixed global group hidden icon icons inner item items js left "
+    "link links list menu mobile modal module nav news outer page panel pane post posts primary right row secondary section site slot small sticky stories "
+    "story top unit users view wrap wrapper zone article articles content entry main text body form input field message policy settings tools meta".split()
 )
 #: Side elements that never wrap a page.
 PART_TAGS = SIDE_TAGS - {"form", "fieldset"}
@@ -61,7 +67,13 @@ HAVING = re.compile(r"(?:has|have|no|with|without)[-_]")
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article content entry main post story text body".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+#: Tags as HTML reads them: a quote opens a value only after an equals sign, anywhere else it is part of a name.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+)>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)""",
+    re.S,
+)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:until-found|false))|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
@@ -98,9 +110,13 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
         for _, *values in NAMED.findall(attributes):
             for value in values:
                 for name in value.lower().split():
-                    if not HAVING.match(name):
-                        names.add(name)
-                        names.update(WORDS.findall(name))
+                    if HAVING.match(name):
+                        continue
+                    joined = WORDS.findall(name)
+                    names.add(name)
+                    names.update(w for w in joined if w in MAIN_WORDS)
+                    if all(w in SIDE_WORDS or w in PART_WORDS or w.isdigit() for w in joined):
+                        names.update(joined)
     if tag in ("body", "html"):
         return False, False, False
     main = tag in MAIN_TAGS or bool(names & MAIN_WORDS)
@@ -134,6 +150,10 @@ def blocks(page: str | None) -> list[Block]:
     def opened(tag: str, attributes: str) -> None:
         side, main, hidden = _kind(tag, attributes)
         above = stack[-1] if stack else None
+        if tag == "header" and side:
+            inner = next((o for o in reversed(stack) if o.side or o.main), None)
+            if inner is not None and inner.main:  # the head of an article holds its title
+                side = _kind("div", attributes)[0]
         stack.append(_Open(tag, side, main, hidden or bool(above and above.hidden), tag == "a"))
 
     while at < end:

@@ -68,3 +68,28 @@ def test_query_on_odd_tables(spark, folder_of):
     out = H.op1_html_extract(spark, folder_of("pages", rows, SCHEMA)).collect()
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in out), key=str) == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "x", 1)], key=str)
     assert H.op1_html_extract(spark, folder_of("pages", [], SCHEMA, 1)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One two.</p><p title='it's'>Three four.</p><p>don't stop</p></article>", "One two.\nThree four.\ndon't stop"),
+        ("<article><p a=\"x>y\" b='>' c=d/>Text</p><p =x>b</p><p \"q>c</p><p t=\"u>d</p></article>", "Text\nb\nc\nd"),
+        ("<article><p>One.</p><section class='related-work'><p>Others found the same.</p></section></article>", "One.\nOthers found the same."),
+        ("<article><p>One.</p><div class='search-results-analysis'><p>Results are here.</p></div></article>", "One.\nResults are here."),
+        ("<header class='site-header'><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Text of it.</p></article>", "Title\nText of it."),
+        ("<article><p>Text of it.</p><div id='responses'><p>nice one</p></div><div class='related-posts'><p>more</p></div></article>", "Text of it."),
+        ("<article><p>Text.</p><div class='cookie-banner-2'>We use cookies</div><div class='post-comments'>nice</div></article>", "Text."),
+    ],
+)
+def test_stray_quotes_and_joined_names(page, text):
+    assert H.main_text(page, TREE) == text
+
+
+@pytest.mark.parametrize("tail", ["a=b " * 100_000, "a='" * 100_000, "a=" * 100_000, "' " * 100_000])
+def test_tags_that_never_end_take_no_quadratic_time(tail):
+    import time
+
+    start = time.time()
+    H.main_text("<article><p>x</p><p " + tail, TREE)
+    assert time.time() - start < 2
