@@ -171,10 +171,11 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 def settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Rerank: the spans that certainly repeat, and the rows that stay undecided, one for each equal surroundings."""
+    if last:  # pieces are whole strings now, so both hashes name the same bytes
+        ranks = rows.groupBy("piece", "name").agg(F.count("*").alias("n"), F.max("open").alias("asked"))
+        return _spans(rows.join(ranks.where("n > 1 and asked"), ["piece", "name"]).select(*rows.columns)), None
     ranks = rows.groupBy("piece").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"), F.max("open").alias("asked"))
     shared = rows.join(ranks.where("n > 1 and asked"), "piece").select(*rows.columns, (F.col("low") < F.col("high")).alias("differ"))
-    if last:
-        return _spans(shared), None
     shared = stored(shared, "suffix-shared")
     rest = ["k1", "k2", "at", "far", "lo", "hi"]
     kinds = shared.where("differ").groupBy("piece", "name").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct(*rest)).alias("row"))
