@@ -1,7 +1,9 @@
 """Seeds, registrable domains and the scope rules that tie URLs to seeds."""
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions import text, urls
 from ..session import materialized
 from .joins import BROADCAST_BYTES, is_small, lookup_join
 
+# The one function here that runs in Python workers travels by value: executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCOPE_COLUMNS = ["scope_host", "scope_subs", "scope_re"]
 MAX_LABELS = 127  # fixed value: most labels a DNS name can have
 
