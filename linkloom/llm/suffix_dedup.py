@@ -52,8 +52,8 @@ INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 #: Digests of texts that a task remembers; a text forgotten is ranked again, which changes no result.
 REMEMBERED = 100_000
 
-KEY = "k1 long, k2 long, at long, far int, size int"
-ROWS = KEY + ", lo int, hi int, open boolean, piece long, name long"
+KEY = "k1 long, k2 long, at long, far int"
+ROWS = KEY + ", size int, lo int, hi int, open boolean, piece long, name long"
 FIRST = "k1 long, k2 long, at long, hi int, lo int, lo_long int, piece long, name long, name_long long"
 
 
@@ -192,23 +192,22 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 def ranked_first(rows: DataFrame) -> DataFrame:
-    """Rows of the first round whose piece is not alone, one for each size, and whether the surroundings differ."""
-    long = F.when(F.col("lo_long") <= F.col("hi"), F.col("name_long"))
-    ranks = rows.groupBy("piece").agg(
-        F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"),
-        F.count(long).alias("n_long"), F.min(long).alias("low_long"), F.max(long).alias("high_long"),
-    )
+    """Rows of the first round whose piece is not alone, one for each size, and whether the surroundings differ in any way.
+
+    Where they do not, strings of LENGTH bytes cover what those of PASSAGE bytes would, unless a text ends before.
+    """
+    rows = rows.withColumn("names", F.xxhash64("name", "name_long"))
+    ranks = rows.groupBy("piece").agg(F.count("*").alias("n"), F.min("names").alias("low"), F.max("names").alias("high"))
     near = rows.join(ranks.where("n > 1"), "piece")
 
     def of(size: int, end: str) -> Column:
-        piece = F.xxhash64("piece", F.lit(size))
-        return F.struct(
-            F.lit(size).alias("size"), F.col("lo" + end).alias("lo"), F.lit(True).alias("open"), piece.alias("piece"), F.col("name" + end).alias("name"),
-            F.col("n" + end).alias("n"), (F.col("low" + end) < F.col("high" + end)).alias("differ"),
-        )
+        piece = F.when(F.col("differ"), F.xxhash64("piece", F.lit(size)))
+        name = F.when(F.col("differ"), F.col("name" + end))
+        return F.struct(F.lit(size).alias("size"), F.col("lo" + end).alias("lo"), F.lit(True).alias("open"), piece.alias("piece"), name.alias("name"))
 
-    both = near.select("k1", "k2", "at", F.col("hi").alias("far"), "hi", F.inline(F.array(of(PASSAGE, ""), of(LENGTH, "_long"))))
-    return both.where("n > 1 and lo <= hi").drop("n")
+    near = near.withColumn("differ", F.col("low") < F.col("high"))
+    both = near.select("k1", "k2", "at", F.col("hi").alias("far"), "hi", "differ", (F.col("lo") == F.col("lo_long")).alias("same"), F.inline(F.array(of(PASSAGE, ""), of(LENGTH, "_long"))))
+    return both.where((F.col("lo") <= F.col("hi")) & (F.col("differ") | ~F.col("same") | (F.col("size") == LENGTH))).drop("same")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -224,7 +223,7 @@ def settle(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = shared.where("differ").groupBy("piece", "name").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct(*rest)).alias("row"))
     kinds = stored(kinds.select("piece", "name", "n", (F.col("open") & (F.col("n") == 1)).alias("open"), "row"), "suffix-kinds")
     twice = shared.where("differ and open").join(kinds.where("n > 1").select("piece", "name"), ["piece", "name"])
-    asked = kinds.where("open").select("piece").distinct()
+    asked = kinds.groupBy("piece").agg(F.max("open").alias("open"), F.count("*").alias("n")).where("open and n > 1").select("piece")
     undecided = kinds.join(asked, "piece", "left_semi").select("row.*", "open")
     return _spans(shared.where("not differ")).unionByName(_spans(twice)), undecided
 
@@ -242,35 +241,41 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bytes around each anchor of ``rows``, cut from the texts: ``KEY, around``."""
-    wanted = stored(rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "far", "size", "lo")).alias("places")), "suffix-wanted")
+    """The bytes around each anchor of ``rows``, cut once for both sizes from the texts: ``KEY, around``."""
+    wanted = stored(rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "far", (F.col("size") - F.col("lo")).alias("reach"))).alias("places")), "suffix-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, (k1, k2) in enumerate(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)):
                 if met(seen, (k1, k2)) > 1:  # a copy, whose bytes were cut
                     continue
                 text = batch.column("text")[i].as_py().encode()
+                ends: dict[tuple[int, int], int] = {}
                 for p in batch.column("places")[i].as_py():
-                    around = text[p["at"] - p["far"] : p["at"] - p["lo"] + p["size"]]
-                    for to, value in zip(out, (k1, k2, p["at"], p["far"], p["size"], around), strict=True):
+                    place = p["at"], p["far"]
+                    ends[place] = max(ends.get(place, 0), p["at"] + p["reach"])
+                for (at, far), end in ends.items():
+                    for to, value in zip(out, (k1, k2, at, far, text[at - far : end]), strict=True):
                         to.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["k1", "k2", "at", "far", "size", "around"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["k1", "k2", "at", "far", "around"])
 
     cut = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lean(run), KEY + ", around binary")
-    return cut.dropDuplicates(["k1", "k2", "at", "far", "size"])
+    return cut.dropDuplicates(["k1", "k2", "at", "far"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``k1, k2, size, begin, end``: spans of texts, by their digest, that are covered by repeated strings of that size."""
+    """``k1, k2, size, begin, end``: spans of texts, by their digest, that are covered by repeated strings of that size.
+
+    Spans come more than once where texts do, and what strings of LENGTH bytes cover is not given again for PASSAGE.
+    """
     spans, undecided = settle(ranked_first(stored(first_round(docs.select("k1", "k2", "text")), "suffix-anchors")))
     found = [spans]
     around = stored(surroundings(docs, undecided), "suffix-around")
     for level in range(1, len(WIDTHS)):
-        rows = stored(next_round(undecided.join(around, ["k1", "k2", "at", "far", "size"]), level), "suffix-round")
+        rows = stored(next_round(undecided.join(around, ["k1", "k2", "at", "far"]), level), "suffix-round")
         if level == len(WIDTHS) - 1:
             found.append(settle_last(rows))
         else:
@@ -279,7 +284,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -301,7 +306,7 @@ def kept(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs)
     large = F.octet_length("text") >= PASSAGE
-    spans = repeats(rows.where(large)).groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "begin", "end")).alias("spans"))
+    spans = repeats(rows.where(large)).groupBy("k1", "k2").agg(F.collect_set(F.struct("size", "begin", "end")).alias("spans"))
     spans = stored(spans, "suffix-spans")  # no aggregate beside the join, so that a hot text can be split
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +314,7 @@ def kept(docs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], [], [], [], []]
             for i in range(batch.num_rows):
                 text, all_spans = batch.column("text")[i].as_py().encode(), batch.column("spans")[i].as_py() or []
-                gone, passages = (merged([s for s in all_spans if s["size"] == size]) for size in (LENGTH, PASSAGE))
+                gone, passages = (merged([s for s in all_spans if s["size"] >= size]) for size in (LENGTH, PASSAGE))
                 edges = [0, *(x for span in gone for x in span), len(text)]
                 left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 values = (len(text), len(text) - len(left), len(gone), hashlib.sha256(left).hexdigest(), sum(b - a for a, b in passages), len(passages), left)
