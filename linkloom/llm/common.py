@@ -28,6 +28,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one call keeps in the shared folder, and deletes once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``stored``; several tables may have one name."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, or all."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import lean, stored, table, text_buffers
+from linkloom.llm.common import Scratch, lean, stored, table, text_buffers
 from linkloom.llm.minmax_dedup import mixed
 
 LENGTH = 400
@@ -191,14 +191,14 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.where("open").select("k1", "k2", "size", (F.col("at") - F.col("hi")).alias("begin"), (F.col("at") - F.col("lo") + F.col("size")).alias("end"))
 
 
-def ranked_first(rows: DataFrame) -> DataFrame:
+def ranked_first(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of the first round whose piece is not alone, one for each size, and whether the surroundings differ in any way.
 
     Where they do not, strings of LENGTH bytes cover what those of PASSAGE bytes would, unless a text ends before.
     """
     rows = rows.withColumn("names", F.xxhash64("name", "name_long"))
     ranks = rows.groupBy("piece").agg(F.count("*").alias("n"), F.min("names").alias("low"), F.max("names").alias("high"))
-    near = rows.join(ranks.where("n > 1"), "piece")
+    near = rows.join(scratch.stored(ranks.where("n > 1"), "suffix-ranks"), "piece")
 
     def of(size: int, end: str) -> Column:
         piece = F.when(F.col("differ"), F.xxhash64("piece", F.lit(size)))
@@ -210,28 +210,29 @@ def ranked_first(rows: DataFrame) -> DataFrame:
     return both.where((F.col("lo") <= F.col("hi")) & (F.col("differ") | ~F.col("same") | (F.col("size") == LENGTH))).drop("same")
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Rows whose piece is not alone, and whether the surroundings differ."""
+def ranked(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose piece is not alone, and whether the surroundings differ; ranks are a table, so that Spark can split a hot piece."""
     ranks = rows.groupBy("piece").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"), F.max("open").alias("asked"))
-    return rows.join(ranks.where("n > 1 and asked"), "piece").select(*rows.columns, (F.col("low") < F.col("high")).alias("differ"))
+    return rows.join(scratch.stored(ranks.where("n > 1 and asked"), "suffix-ranks"), "piece").select(*rows.columns, (F.col("low") < F.col("high")).alias("differ"))
 
 
-def settle(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle(shared: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The spans that certainly repeat, and the rows that stay undecided, one for each equal surroundings."""
-    shared = stored(shared, "suffix-shared")
+    shared = scratch.stored(shared, "suffix-shared")
     rest = ["k1", "k2", "at", "far", "size", "lo", "hi"]
     kinds = shared.where("differ").groupBy("piece", "name").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct(*rest)).alias("row"))
-    kinds = stored(kinds.select("piece", "name", "n", (F.col("open") & (F.col("n") == 1)).alias("open"), "row"), "suffix-kinds")
+    kinds = scratch.stored(kinds.select("piece", "name", "n", (F.col("open") & (F.col("n") == 1)).alias("open"), "row"), "suffix-kinds")
     twice = shared.where("differ and open").join(kinds.where("n > 1").select("piece", "name"), ["piece", "name"])
     asked = kinds.groupBy("piece").agg(F.max("open").alias("open"), F.count("*").alias("n")).where("open and n > 1").select("piece")
     undecided = kinds.join(asked, "piece", "left_semi").select("row.*", "open")
     return _spans(shared.where("not differ")).unionByName(_spans(twice)), undecided
 
 
-def settle_last(rows: DataFrame) -> DataFrame:
+def settle_last(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The spans that repeat, when pieces are whole strings and both hashes name the same bytes."""
     ranks = rows.groupBy("piece", "name").agg(F.count("*").alias("n"), F.max("open").alias("asked"))
-    return _spans(rows.join(ranks.where("n > 1 and asked"), ["piece", "name"]).select(*rows.columns))
+    ranks = scratch.stored(ranks.where("n > 1 and asked"), "suffix-ranks")
+    return _spans(rows.join(ranks, ["piece", "name"]).select(*rows.columns))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -240,9 +241,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(LENGTH), "text").alias("k2"))
 
 
-def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def surroundings(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The bytes around each anchor of ``rows``, cut once for both sizes from the texts: ``KEY, around``."""
-    wanted = stored(rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "far", (F.col("size") - F.col("lo")).alias("reach"))).alias("places")), "suffix-wanted")
+    wanted = scratch.stored(rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "far", (F.col("size") - F.col("lo")).alias("reach"))).alias("places")), "suffix-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {}
@@ -266,20 +267,23 @@ def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return cut.dropDuplicates(["k1", "k2", "at", "far"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``k1, k2, size, begin, end``: spans of texts, by their digest, that are covered by repeated strings of that size.
 
     Spans come more than once where texts do, and what strings of LENGTH bytes cover is not given again for PASSAGE.
     """
-    spans, undecided = settle(ranked_first(stored(first_round(docs.select("k1", "k2", "text")), "suffix-anchors")))
+    rows = scratch.stored(first_round(docs.select("k1", "k2", "text")), "suffix-anchors")
+    spans, undecided = settle(ranked_first(rows, scratch), scratch)
+    scratch.drop("suffix-anchors", "suffix-ranks")
     found = [spans]
-    around = stored(surroundings(docs, undecided), "suffix-around")
+    around = scratch.stored(surroundings(docs, undecided, scratch), "suffix-around")
     for level in range(1, len(WIDTHS)):
-        rows = stored(next_round(undecided.join(around, ["k1", "k2", "at", "far"]), level), "suffix-round")
+        rows = scratch.stored(next_round(undecided.join(around, ["k1", "k2", "at", "far"]), level), f"suffix-round-{level}")
         if level == len(WIDTHS) - 1:
-            found.append(settle_last(rows))
+            found.append(settle_last(rows, scratch))
         else:
-            spans, undecided = settle(ranked(rows))
+            spans, undecided = settle(ranked(rows, scratch), scratch)
+            scratch.drop(f"suffix-round-{level}", "suffix-ranks")
             found.append(spans)
     out = found[0]
     for more in found[1:]:
@@ -306,8 +310,10 @@ def kept(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs)
     large = F.octet_length("text") >= PASSAGE
-    spans = repeats(rows.where(large)).groupBy("k1", "k2").agg(F.collect_set(F.struct("size", "begin", "end")).alias("spans"))
+    scratch = Scratch(docs.sparkSession)
+    spans = repeats(rows.where(large), scratch).groupBy("k1", "k2").agg(F.collect_set(F.struct("size", "begin", "end")).alias("spans"))
     spans = stored(spans, "suffix-spans")  # no aggregate beside the join, so that a hot text can be split
+    scratch.drop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
