@@ -1,6 +1,6 @@
 """Crawl rounds over a stored corpus, and the budgets that go with them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,11 +9,16 @@ from ..session import scratch_path
 from .dedup import ARRIVAL, first_seen
 from .extract import is_success, link_edges
 from .joins import lookup_join
-from .scope import SCOPE_COLUMNS, in_scope
+from .scope import SCOPE_COLUMNS, attach_seeds, in_scope
 
 POINTS = 256  # URLs of a frontier that are looked up as values, so that only their buckets of the graph are read
 CLAIM = ["seed_id", "set_name", "key"]
 GRAPH = ["src", "scripted", "dst", "key", "kind", "phase", "page_id", "ord"]
+NODE = ["seed_id", "url", "scripted", "seed_canon", *SCOPE_COLUMNS]
+STATE = [*NODE, "depth", "round"]
+STEADY = 6  # rounds that run one by one before later ones are worked out at once; also what a guess must gain to go on
+GUESSES = 3  # guesses that may gain less
+FAR = 1 << 30  # round of a page that has not been reached yet
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -73,6 +78,12 @@ class Tables:
         schema = self.spark.table(f"{self.prefix}_{name}").schema
         return self.spark.read.schema(schema).parquet(f"{self.place}/{name}")
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A frame as files: neither its lineage nor what a plan knows of its columns grows from step to step."""
+        path = scratch_path(self.spark, "crawl-step")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def forget(self) -> None:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
@@ -103,7 +114,8 @@ def crawl(
     bucketed by its key with one partition for each round; a round reads the partition of the last one, and its
     own aggregate by key lies as the table's buckets do. So neither the graph nor what is
     known is shuffled again, only what is new, and a frontier of a few URLs reads but their buckets. All that
-    links claim is claimed for good, so of what was visited only the first round is compared.
+    links claim is claimed for good, so of what was visited only the first round is compared. Long paths take no
+    round for each link: after ``STEADY`` rounds the later ones are worked out together (:func:`_ahead`).
     """
     tables = Tables(graph.sparkSession)
     try:
@@ -129,24 +141,110 @@ def _rounds(tables: Tables, graph: DataFrame, seeds: DataFrame, max_depth: int,
     if starts is not None:
         first = first.unionByName(_started(starts, seeds.select(*scopes), exclude))
     begun = tables.write(first_seen(first, ["seed_id", "url"], ["seed_canon"]), "begun", ["seed_id", "url"])
-    state = ["seed_id", "url", "scripted", "depth", "round", "seed_canon", *SCOPE_COLUMNS]
-    frontier = begun.withColumns({"scripted": F.lit(False), "depth": F.lit(1), "round": F.lit(1)}).select(*state)
-    claimed, number = None, 1
+    frontier = begun.withColumns({"scripted": F.lit(False), "depth": F.lit(1), "round": F.lit(1)}).select(*STATE)
+    claimed, number, steady = None, 1, STEADY
+    ahead = 1 + steady  # the round after which the next ones are worked out together
     while (max_rounds is None or number < max_rounds) and not frontier.isEmpty():
-        number += 1
-        new = claims(graph, frontier, claimed).withColumn("round", F.lit(number))
-        claimed = tables.write(new, "claimed", CLAIM, "round")
-        frontier = _admitted(claimed.where(F.col("round") == number), begun, max_depth, exclude).select(*state)
+        last = number + 1
+        if number < ahead:
+            new = claims(graph, frontier, claimed)
+        else:
+            new, last = _ahead(tables, graph, frontier, claimed, begun, seeds, number, max_depth, exclude)
+            steady *= 2
+            ahead = (number if last is None else last) + steady
+            if max_rounds is not None:
+                new = new.where(F.col("round") <= max_rounds)
+        step = number + 1
+        claimed = tables.write(new.withColumn("step", F.lit(step)), "claimed", CLAIM, "step")
+        if last is None:
+            break
+        number = last
+        latest = claimed.where((F.col("step") == step) & (F.col("round") == number))
+        frontier = _admitted(latest, begun, max_depth, exclude).select(*STATE)
     return tables.files("begun"), None if claimed is None else tables.files("claimed")
 
 
-def claims(graph: DataFrame, frontier: DataFrame, claimed: DataFrame | None) -> DataFrame:
-    """The first link of a frontier to every key that is not claimed yet."""
-    new = first_seen(_reached(graph, frontier), CLAIM, ARRIVAL)
+def claims(graph: DataFrame, frontier: DataFrame, claimed: DataFrame | None, guess: Column | None = None) -> DataFrame:
+    """The first link of a frontier to every key that is not claimed yet.
+
+    The pages of a frontier may be of several rounds; the earliest comes first. ``guess`` orders the links
+    of pages that have not been reached.
+    """
+    rows, order = _reached(graph, frontier), ["round", *ARRIVAL]
+    if guess is not None:
+        rows = rows.withColumn("guess", F.when(F.col("round") < FAR, 0).otherwise(guess).cast("long"))
+        order = ["round", "guess", *ARRIVAL]
+    new = first_seen(rows, CLAIM, order)
     if claimed is not None:
         new = new.join(claimed.select(*CLAIM), CLAIM, "left_anti")
     deeper = F.when(F.col("kind") == "href", F.col("depth") + 1).otherwise(1)
-    return new.withColumn("depth", deeper)
+    return new.withColumns({"depth": deeper, "round": F.col("round") + 1})
+
+
+def _ahead(
+    tables: Tables, graph: DataFrame, frontier: DataFrame, claimed: DataFrame, begun: DataFrame, seeds: DataFrame, number: int, max_depth: int, exclude: str | None
+) -> tuple[DataFrame, int | None]:
+    """Claims of the rounds after ``number``, and the last of these rounds, or None if no page is left.
+
+    What a round claims follows from the pages of the rounds before it alone, so pages with their rounds are right up to
+    the first round in which they differ from what their own links claim. That is the proof; the pages
+    to be proved are guessed. Every page takes the link that claims it, or would claim it among pages that were not
+    reached yet, and their rounds are counted along these links by doubling: a path costs as many joins as
+    its length has binary digits. Pages that differ take better links, and so on. A guess that proves little ends
+    this; it is never worse than one round.
+    """
+    sources = tables.kept(graph.select(F.col("src").alias("url"), "scripted").distinct())
+    whose = seeds.select("seed_id", "seed_canon", *SCOPE_COLUMNS, "attach_key")
+    pages = attach_seeds(sources.withColumn("host", urls.url_host(F.col("url"))), whose).where(in_scope(F.col("url")))
+    node = F.xxhash64(*NODE)
+    far = tables.kept(pages.withColumns({"depth": F.lit(1), "round": F.lit(FAR)}).select(*STATE).distinct().withColumn("parent", node))
+    roots = tables.kept(frontier.join(sources, ["url", "scripted"], "left_semi").select(*STATE).withColumn("parent", node))
+    found, sure, tried = roots.where(F.lit(False)), number, 0
+    while True:
+        unknown = far.join(roots.unionByName(found).select("parent"), "parent", "left_anti")
+        guess = [F.lit(0), -F.col("page_id")][tried] if tried < 2 else F.xxhash64("parent", F.lit(tried))
+        new = tables.kept(claims(graph, roots.unionByName(found).unionByName(unknown), claimed, guess).drop("guess"))
+        rows = _admitted(new, begun, max_depth, exclude).join(sources, ["url", "scripted"], "left_semi")
+        rows = rows.select(*STATE, "parent", "kind").unionByName(roots.withColumn("kind", F.lit("")))
+        # A script may be reached again, under its plain name.
+        nodes = tables.kept(first_seen(rows, NODE, ["round", "depth"]).where(F.col("round") > number))
+        sides = found.select(*STATE, F.lit(0).alias("side")).unionByName(nodes.where(F.col("round") < FAR).select(*STATE, F.lit(1).alias("side")))
+        differ = sides.groupBy(*STATE).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
+        wrong = differ.agg(F.min("round")).first()[0]
+        if wrong is None:
+            return new.where(F.col("round") < FAR).drop("parent"), None
+        gained, sure, tried = wrong - sure, wrong, tried + 1
+        if tried > GUESSES and gained < STEADY:
+            return new.where(F.col("round") <= sure).drop("parent"), sure
+        nodes = nodes.withColumn("id", node)
+        counted = _counted(tables, roots, nodes)
+        found = tables.kept(nodes.drop("depth", "round", "parent", "kind").join(counted, "id").withColumnRenamed("id", "parent").select(*found.columns))
+
+
+def _counted(tables: Tables, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, depth, round`` of the pages whose parents lead to a root.
+
+    A row holds how far a page is from another one up its path; a join with itself doubles that. Rows that neither
+    reach a root nor end go in circles, and once no other rows are open, nothing changes any more.
+    """
+    start = roots.select(
+        F.col("parent").alias("id"), F.lit(None).cast("long").alias("to"), F.col("round").cast("long").alias("hops"),
+        F.col("depth").cast("long").alias("deep"), F.lit(True).alias("fixed"),
+    )
+    one = F.lit(1).cast("long")
+    begin = nodes.select("id", F.col("parent").alias("to"), one.alias("hops"), one.alias("deep"), (F.col("kind") != "href").alias("fixed"))
+    ways, before = tables.kept(start.unionByName(begin)), None
+    while (left := ways.where("to is not null").count()) not in (0, before):
+        before = left
+        on = ways.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("deep").alias("_deep"), F.col("fixed").alias("_fixed"))
+        # Behind a link that is no tag the depth starts over, whatever it was before.
+        deep = F.when(F.col("fixed"), F.col("deep")).otherwise(F.col("_deep") + F.col("deep"))
+        moved = ways.join(on, "to").select(
+            "id", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), deep.alias("deep"), (F.col("fixed") | F.col("_fixed")).alias("fixed")
+        )
+        ways = tables.kept(ways.where("to is null").unionByName(moved))
+    done = ways.where("to is null").join(nodes.select("id"), "id", "left_semi")
+    return done.select("id", F.col("deep").cast("int").alias("depth"), F.col("hops").cast("int").alias("round"))
 
 
 def _reached(graph: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -158,7 +256,7 @@ def _reached(graph: DataFrame, frontier: DataFrame) -> DataFrame:
     links = links.withColumns({"dst": F.coalesce("dst", "seed_canon"), "key": F.coalesce("key", F.lower("seed_canon"))})
     script = F.col("kind") == "javascript"
     links = links.where(script | in_scope(F.col("dst"))).withColumn("set_name", F.when(script, "js").otherwise("link"))
-    return links.drop("src", "scripted", "round").withColumnRenamed("dst", "url")
+    return links.drop("src", "scripted").withColumnRenamed("dst", "url")
 
 
 def _admitted(claimed: DataFrame, begun: DataFrame, max_depth: int, exclude: str | None) -> DataFrame:

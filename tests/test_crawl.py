@@ -191,3 +191,42 @@ def test_pages_of_uncovered_hosts_are_not_scanned(spark, seeds):
     columns = ["seed_id", "kind", "output"]
     small, large = (sorted(map(tuple, discovery.findings(pages, seeds("h.com"), limit=n).select(*columns).collect())) for n in (1 << 26, -1))
     assert small == large and small
+
+
+def linked(spark, rows):
+    """Graph rows from (src, dst, kind, page_id, ord), the pages of one host."""
+    rows = [(f"https://h.com/{a}", f"https://h.com/{b}", kind, int(kind == "href"), page, at) for a, b, kind, page, at in rows]
+    return spark.createDataFrame(rows, "src string, dst string, kind string, phase int, page_id long, ord int")
+
+
+def walked(spark, seeds, graph, depth=0, **options):
+    known = graph.select(F.col("src").alias("canonical"), "page_id").distinct()
+    visits = frontier.crawl(graph, known, discovery.seed_columns(seeds("https://h.com/0", "h.com")), depth, **options)
+    return sorted((r.seed_id, r.url, r.depth, r["round"]) for r in visits.collect())
+
+
+def test_long_paths_take_no_round_for_each_link(spark, seeds, monkeypatch):
+    """200 pages with links to the next and the one before, stored last page first, and links that no page stands behind."""
+    calls, claims = [], frontier.claims
+    monkeypatch.setattr(frontier, "claims", lambda *a: calls.append(1) or claims(*a))
+    rows = [(i, i + 1, "href", 1000 - i, 0) for i in range(200)] + [(i, i - 1, "href", 1000 - i, 1) for i in range(1, 200)]
+    rows += [(i, f"leaf{i}", "href", 1000 - i, 2) for i in range(0, 200, 7)]
+    found = [r for r in walked(spark, seeds, linked(spark, rows)) if r[0] == 0]
+    expected = [(0, f"https://h.com/{i}", i + 1, i + 1) for i in range(201)] + [(0, f"https://h.com/leaf{i}", i + 2, i + 2) for i in range(0, 200, 7)]
+    assert found == sorted(expected)
+    assert len(calls) < 20
+
+
+def test_rounds_worked_out_at_once_are_those_one_by_one(spark, seeds, monkeypatch):
+    """Spellings of one key, links back, quoted links and shortcuts."""
+    import random
+
+    draw = random.Random(5)
+    name = lambda: draw.choice(["p{}", "P{}", "p{}", "p{}x"]).format(draw.randrange(14))
+    rows = [(0, "p0", "href", 0, 0)] + [(f"p{i}", f"p{i + 1}", "href", i, 0) for i in range(14)]
+    rows += [(name(), name(), draw.choice(["href", "href", "linkfinder"]), draw.randrange(200), n) for n in range(9)]
+    graph, sides = materialized(linked(spark, rows)), []
+    for steady in (1, 1000):
+        monkeypatch.setattr(frontier, "STEADY", steady)
+        sides.append(walked(spark, seeds, graph))
+    assert sides[0] == sides[1] and max(r[3] for r in sides[0]) > 5
