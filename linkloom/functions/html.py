@@ -32,23 +32,35 @@ def has_attribute(tag: Column, name: str) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of the first ``name`` attribute; empty when it has none."""
-    quoted = F.regexp_extract(tag, _attribute(name) + rf"\s*+=\s*+({_VALUE})", 1)
-    value = F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1\z""", "$2")
+    return attribute_value(attribute_text(tag, name))
+
+
+def attribute_text(tag: Column, name: str) -> Column:
+    """The first ``name`` attribute as it is written, quotes and entities included; empty when it has none."""
+    return F.regexp_extract(tag, _attribute(name) + rf"\s*+=\s*+({_VALUE})", 1)
+
+
+def attribute_value(written: Column) -> Column:
+    """What an attribute's text stands for. Pass a materialised column where many are read: it is looked at twice."""
+    bare = F.regexp_replace(written, r"""(?s)^(["'])(.*)\1\z""", "$2")
+    value = bare
     for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+    return F.when(F.contains(written, F.lit("&")), value).otherwise(bare)
 
 
 def browser_reference(value: Column) -> Column:
     """An attribute value as a browser reads it before resolving it.
 
     Outer control characters and inner line breaks go, backslashes are slashes,
-    a lone ``%`` is literal, and the query is percent-encoded.
+    a lone ``%`` is literal, and the query is percent-encoded. A value without any of these passes through
+    untouched. Pass a materialised column.
     """
     clean = F.regexp_replace(value, r"^[\x00- ]++|(?<![\x00- ])[\x00- ]++\z|[\t\r\n]", "")
     clean = F.regexp_replace(clean, r"%(?![0-9A-Fa-f]{2})", "%25")
     clean = F.when(F.contains(clean, F.lit("\\")), _slashes(clean)).otherwise(clean)
-    return F.when(clean.rlike(r"\?[^#]*[^!-~]|\?[^#]*[\"<>']"), _encoded_query(clean)).otherwise(clean)
+    read = F.when(clean.rlike(r"\?[^#]*[^!-~]|\?[^#]*[\"<>']"), _encoded_query(clean)).otherwise(clean)
+    return F.when(value.rlike(r"[\x00- %\\?]"), read).otherwise(value)
 
 
 def _slashes(ref: Column) -> Column:

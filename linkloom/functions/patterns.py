@@ -41,16 +41,20 @@ SCRIPT_TAG_EXTENSIONS = [".js", ".xml", ".json"]
 SCANNED_EXTENSIONS = [".js", ".xml", ".json", ".map"]
 
 # Quoted text that is no link.
-MIME_TOKEN = r"^[a-zA-Z][a-zA-Z0-9.+-]*/[a-zA-Z0-9.+-]+\z"
-DATE_TOKEN = r"^\d{1,2}/\d{1,2}/\d{2,4}\z"
+MIME_TOKEN = r"[a-zA-Z][a-zA-Z0-9.+-]*/[a-zA-Z0-9.+-]+"
+DATE_TOKEN = r"\d{1,2}/\d{1,2}/\d{2,4}"
 
 # Fixed value: everything up to the last "allow:"/"disallow:" of a robots line; (?d) keeps \r inside the line.
 ROBOTS_PREFIX = r"(?i)(?d).*llow:\s*"
 # Prefixes left over from percent-encoding in scraped host names.
 HOST_RESIDUE = r"^(?:20|25|2b|2f|3d|3a|40)+"
+# A host name that cleaning would not change.
+CLEAN_HOST = r"^(?!20|25|2b|2f|3d|3a|40)[a-z0-9_][a-z0-9_.-]*+(?<!-)\z"
 
 # The white space trimmed around tokens, as a character class body.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# One look at a token for all of it: nothing but white space, or a MIME type or date between white space.
+NOISE = rf"^[{SPACE}]*+(?:{MIME_TOKEN}|{DATE_TOKEN})?[{SPACE}]*+\z"
 
 # Elements whose content is text, not markup.
 RAW_TEXT_ELEMENTS = "script style title textarea noscript xmp iframe noembed noframes".split()
@@ -59,8 +63,8 @@ _TAG_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?)*+>?""
 # One pass over a document: comments and raw text are consumed, group 1 keeps start tags only.
 # The empty group 3 takes part only for raw-text elements, so \3 tells them apart.
 TAGS = (
-    r"(?is)<!--.*?(?:-->|\z)|(<(?:(" + "|".join(RAW_TEXT_ELEMENTS) + r")()|" + "|".join(LINK_ELEMENTS)
-    + r")(?=[\s/>])" + _TAG_REST + r")(?:\3.*?(?:</\2(?=[\s/>])|\z))?+"
+    r"(?is)(?=<)(?:<!--.*?(?:-->|\z)|(<(?:(" + "|".join(RAW_TEXT_ELEMENTS) + r")()|" + "|".join(LINK_ELEMENTS)
+    + r")(?=[\s/>])" + _TAG_REST + r")(?:\3.*?(?:</\2(?=[\s/>])|\z))?+)"
 )
 
 # Resource types never loaded, and those whose requests are findings.

@@ -15,6 +15,7 @@ from .joins import spread
 
 SCANS = ("response", "host", "bucket", "quoted", "tag")
 TEXT_PHASE, TAG_PHASE = 0, 1
+MAX_WORDS_BYTES = 1 << 20  # larger bodies are scanned whole for hosts and buckets, as their words would fill a task's memory
 _TOKENS = "array<struct<scan:string,ord:int,token:string>>"
 
 
@@ -97,12 +98,15 @@ def scan(
     if "response" in scans:
         shown = success if scripts else success | reported_error(F.col("status"))
         arrays.append(_tokens("response", F.array(F.lit("")), shown))
+    dotted = F.col("_dotted")
+    if "host" in scans or "bucket" in scans:
+        df = df.withColumn("_dotted", F.when(F.octet_length(body) <= MAX_WORDS_BYTES, text.dotted_words(body)).otherwise(body))
     if "host" in scans:
-        runs = F.regexp_extract_all(body, F.lit(patterns.HOST_RUN), F.lit(0))
+        runs = F.regexp_extract_all(dotted, F.lit(patterns.HOST_RUN), F.lit(0))
         arrays.append(_tokens("host", F.array_distinct(runs), gate))
     if "bucket" in scans:
-        named = gate & F.contains(F.lower(body), F.lit("s3"))
-        found = F.array_distinct(F.regexp_extract_all(body, F.lit(patterns.BUCKET), F.lit(0)))
+        named = gate & (F.contains(dotted, F.lit("s3")) | F.contains(dotted, F.lit("S3")))
+        found = F.array_distinct(F.regexp_extract_all(dotted, F.lit(patterns.BUCKET), F.lit(0)))
         arrays.append(_tokens("bucket", found, named))
     if "quoted" in scans:
         df = df.withColumn("_source", body if rewrite_over is None else text.split_long_body(body, rewrite_over)).withColumn("_source", text.decoded(F.col("_source")))
@@ -117,7 +121,7 @@ def scan(
         df = df.withColumn("_base_ref", html.browser_reference(html.attribute(F.col("_base_tag"), "href")))
         arrays.append(_tokens("tag", F.col("_tags")))
     df = df.withColumn("_found", F.concat(*arrays))
-    dropped = ["html", "decoded", "content_type", "_source", "_tags", "_base_tag"]
+    dropped = ["html", "decoded", "content_type", "_dotted", "_source", "_tags", "_base_tag"]
     df = urls.pinned(df.drop(*dropped), "_found", *([] if "_base_ref" not in df.columns else ["_base_ref"]))
     if "_base_ref" in df.columns:
         df = urls.with_resolved(df, "base", "_base_ref", "_doc")
@@ -141,15 +145,15 @@ def resolve(tokens: DataFrame) -> DataFrame:
     df = tokens.withColumn("element", F.when(is_tag, html.tag_name(token)))
     has_href = element.isin("a", "link") & html.has_attribute(token, "href")
     has_src = (element == "script") & html.has_attribute(token, "src")
-    value = F.when(has_href, html.attribute(token, "href")).when(has_src, html.attribute(token, "src"))
-    df = df.withColumn("_value", value)
+    written = F.when(has_href, html.attribute_text(token, "href")).when(has_src, html.attribute_text(token, "src"))
+    df = df.withColumn("_written", written).withColumn("_value", html.attribute_value(F.col("_written")))
     reference = F.when(is_quoted, token).when(~F.col("_value").startswith("#"), html.browser_reference(F.col("_value")))
     df = df.withColumn("_ref", reference)
     if "tag_base" in df.columns:
         df = df.withColumn("base", F.when(is_tag, F.col("tag_base")).otherwise(F.col("base"))).drop("tag_base")
     has_scheme = F.col("_ref").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+://[^/?#]")
     df = urls.with_resolved(df, "base", "_ref", keep_dots=is_quoted & has_scheme)
-    return df.withColumn("has_link", F.col("_value").isNotNull()).drop("base", "_value", "_ref")
+    return df.withColumn("has_link", F.col("_value").isNotNull()).drop("base", "_written", "_value", "_ref")
 
 
 def classify(rows: DataFrame, scripts: bool = False) -> DataFrame:

@@ -37,6 +37,7 @@ def raw_findings(
     strict: bool = False,
     limit: int = BROADCAST_BYTES,
     anywhere: bool = False,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Findings before de-duplication.
 
@@ -46,26 +47,33 @@ def raw_findings(
     tokens. ``strict`` compares hosts instead of running the
     scope pattern on whole URLs. ``skip_lengths`` leaves out successful responses of these lengths. With
     ``anywhere`` a seed whose scope is a pattern has the pages that match it on all hosts, and not only those of its own domain.
+    ``wanted`` (``seed_id``, ``url``) leaves out all other pages of a seed, before their tokens become rows.
     """
     covers = in_scope_by_host if strict else in_scope
     seeds = seed_columns(seeds)
     counted = ~F.col("length").isin(*skip_lengths) | ~is_success(F.col("status")) if skip_lengths else F.lit(True)
     pages, attach = _matched(pages, seeds, limit) if anywhere else _covered(pages, seeds, limit)
+
+    def attached(rows: DataFrame) -> DataFrame:
+        rows = attach(rows).withColumn("page_in_scope", covers(F.col("url")))
+        if wanted is None:
+            return rows
+        return rows.join(F.broadcast(wanted) if is_small(wanted, limit) else wanted, ["seed_id", "url"], "left_semi")
+
     df = responses(pages).withColumn("_counted", counted)
-    tokens = scan(df, scans, F.col("_counted"), scripts, attach=attach)
-    tokens = tokens.withColumn("page_in_scope", covers(F.col("url")))
+    tokens = scan(df, scans, F.col("_counted"), scripts, attach=attached)
     tokens = tokens.where(F.col("page_in_scope") | F.col("scan").isin("response", "tag"))
     tokens = tokens.where(F.col("_counted") | (F.col("scan") != "response"))
+    kind, token = F.col("kind"), F.col("token")
+    under = F.contains(F.lower(token), F.concat(F.lit("."), F.lower("domain")))
+    if "host" in scans:
+        tokens = tokens.where((F.col("scan") != "host") | under)
     rows = classify(resolve(tokens), scripts)
-    rows = rows.withColumn("in_scope", covers(F.col("link")))
     gated = F.col("set_name").isin("link", "js") & (F.col("type") != "javascript")
-    rows = rows.where(~gated | F.col("in_scope"))
-    kind, token = F.col("kind"), F.col("token")
+    rows = rows.where(~gated | covers(F.col("link")))
+    rows = rows.withColumn("in_scope", F.when(gated, True).otherwise(covers(F.col("link"))))  # the filter has looked already
     domain = F.concat(F.lit(patterns.DNS_LABELS), F.replace(F.col("domain"), F.lit("."), F.lit("[.]")))
-    hits = F.when(
-        (kind == "subdomains") & F.contains(F.lower(token), F.concat(F.lit("."), F.lower("domain"))),
-        F.array_distinct(F.regexp_extract_all(token, domain, F.lit(0))),
-    )
+    hits = F.when((kind == "subdomains") & under, F.array_distinct(F.regexp_extract_all(token, domain, F.lit(0))))
     if "host" in scans:
         rows = rows.withColumn("_hit", F.explode_outer(hits)).where((kind != "subdomains") | F.col("_hit").isNotNull())
     else:
@@ -196,16 +204,15 @@ def asset_findings(assets: DataFrame, scripts: DataFrame, seeds: DataFrame, **op
 
     ``assets`` are javascript findings. Those in scope, and their un-minified
     variants, are looked up among the stored script bodies. Few of them are
-    broadcast to cut the bodies that are read; many are matched to the findings
-    instead, since bodies are never shuffled.
+    broadcast to cut the bodies that are read; many are matched to the scripts when
+    their bodies are gone, since bodies are never shuffled.
     """
-    wanted = fetch_targets(assets).select("seed_id", F.col("output").alias("page_url")).distinct()
+    wanted = fetch_targets(assets).select("seed_id", F.col("output").alias("url")).distinct()
     wanted = materialized(wanted)
-    names = wanted.select(F.col("page_url").alias("url")).distinct()
+    names = wanted.select("url").distinct()
     if is_small(names):
         scripts = scripts.join(F.broadcast(names), "url", "left_semi")
-    rows = raw_findings(scripts, seeds, scripts=True, **options)
-    return first_seen(rows.join(wanted, ["seed_id", "page_url"], "left_semi"), FINDING_KEYS)
+    return first_seen(raw_findings(scripts, seeds, scripts=True, wanted=wanted, **options), FINDING_KEYS)
 
 
 def fetch_targets(assets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import patterns, text, urls
 from ..operators.dedup import first_seen
 from ..operators.joins import lookup_join
 from ..operators.scope import in_scope
+from ..session import materialized
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +68,7 @@ def paged_urls(payloads: DataFrame, max_pages: int | None = None) -> DataFrame:
     bad = F.col("j").isNull() | F.col("j._bad").isNotNull()
     more = F.coalesce(F.col("j.has_next"), F.lit(False)) & ~bad
     ends = pages.groupBy("domain").agg(F.min(F.when(~more, F.col("page"))).alias("last"), F.min(F.when(bad, F.col("page"))).alias("broken"))
-    ends = ends.where("broken is null or broken > last").select("domain", "last")
+    ends = materialized(ends.where("broken is null or broken > last").select("domain", "last"))
     read = lookup_join(pages, ends, "domain").where("last is null or page <= last")
     entries = read.select("domain", "page", F.explode("j.url_list").alias("e"))
     return entries.select("domain", "page", F.col("e.url").alias("url")).where("url <> ''")
@@ -132,7 +133,7 @@ def sitemap_index_urls(files: DataFrame) -> DataFrame:
     """
     parsed = _sitemap(files)
     indexes = parsed.where("size(doc.url) <= 0 or doc.url is null")
-    wanted = _locations(indexes.select("seed_id", "doc"), "sitemap").select("seed_id", F.col("url").alias("file_url"))
+    wanted = materialized(_locations(indexes.select("seed_id", "doc"), "sitemap").select("seed_id", F.col("url").alias("file_url")))
     held = parsed.select(F.col("url").alias("file_url"), F.xxhash64("xml").alias("copy"), F.col("doc.url.loc").alias("locs"))
     first = first_seen(held, ["file_url"], ["copy"]).select("file_url", F.explode("locs").alias("loc"))
     found = lookup_join(first, wanted, "file_url").select("seed_id", text.trimmed(F.col("loc")).alias("url"))

@@ -256,3 +256,25 @@ def test_raw_link_counts(spark):
     pages = ingest.read_pages(spark, MEDIUM)
     found = pages.select(F.explode(F.regexp_extract_all("html", F.lit(patterns.QUOTED_LINK), F.lit(1))))
     assert found.count() == 1311
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_scripts_that_are_not_wanted_give_no_token(spark, seeds, limit):
+    """Scripts meet the wanted ones as one row each; to leave them out again as findings costs every step before."""
+    scripts = pages_of(spark, *[(f"https://h.com/js/{i}.js", f"'/a/{i}' '/both'") for i in range(4)])
+    targets = seeds("https://h.com/", "https://other.org/")
+    wanted = spark.createDataFrame([(0, "https://h.com/js/2.js"), (1, "https://h.com/js/3.js")], "seed_id long, url string")
+    found = discovery.raw_findings(scripts, targets, scripts=True, wanted=wanted, limit=limit)
+    assert outputs(found.where("kind = 'linkfinder'")) == [("linkfinder", f"https://h.com{p}") for p in ("/a/2", "/both")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = max(i for i, line in enumerate(plan) if "LeftSemi, ((seed_id" in line)
+    assert joined > next(i for i, line in enumerate(plan) if "Generate inline(_found" in line)
+
+
+def test_bodies_beyond_the_words_limit_are_scanned_whole(spark, seeds, monkeypatch):
+    pages = pages_of(spark, *GOLDEN)
+    targets = seeds("https://h.com/", "https://other.org/")
+    found = [outputs(discovery.findings(pages, targets))]
+    monkeypatch.setattr(extract, "MAX_WORDS_BYTES", 0)
+    found.append(outputs(discovery.findings(pages, targets)))
+    assert found[0] == found[1] and ("aws", "bk.s3.amazonaws.com") in found[0]

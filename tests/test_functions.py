@@ -28,6 +28,31 @@ def test_noise(apply):
     assert apply(text.is_noise, *noisy, "/api/v1", "api/users/x") == [True] * 6 + [False] * 2
 
 
+def test_noise_is_one_look_at_a_token(apply, strings):
+    noisy = ["", "\t\u00a0", "\u2003text/html \n", " 1/2/2025\r", " {{", "x /: y"]
+    assert apply(text.is_noise, *noisy, "text/h tml", "1/2/20255", "a", " /text/html ", None) == [True] * 6 + [False] * 4 + [None]
+    plan = strings("x").select(text.is_noise(F.col("s")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") == 1 and "regexp_replace" not in plan
+
+
+def test_text_that_needs_nothing_is_not_written_anew(apply):
+    plain = ["", "a.b", "\\u00", "\\u002F", "%", "a%2", None]
+    assert apply(text.decoded, *plain) == plain
+    assert apply(text.decoded, "%5Cu002f+", "\\u002f%zz+", "+\\u0026", "%41+\\u002f") == ["/ ", "/%zz+", " &", "A /"]
+    assert apply(text.one_line, "", "a", "\u00a0a\u2003", "a \t\tb", None) == ["", "a", "a", "a  b", None]
+    hosts = ["a_.b-c", "_a", "-a", "a-", ".a", "20a.b", "A.b", "*.a.b", " a", "a*", "", None]
+    assert apply(text.clean_host, *hosts) == ["a_.b-c", "_a", "a", "a", "a", "a.b", "a.b", "a.b", "a", "a*", "", None]
+
+
+@pytest.mark.parametrize("pattern", [patterns.HOST_RUN, patterns.BUCKET])
+def test_dotted_words_hold_every_host_and_bucket(apply, pattern):
+    random.seed(5)
+    parts = [" ", "\t", "\n", ".", "-", "_", "/", "//", "a", "b.s3.amazonaws.com", "S3.amazonaws.com/x", "s3-eu.amazonaws.com/y", "\u00e9", '"', "k.s3-website-eu"]
+    bodies = ["".join(random.choices(parts, k=random.randint(1, 12))) for _ in range(800)]
+    found = [apply(lambda c, t=t: F.regexp_extract_all(t(c), F.lit(pattern), F.lit(0)), *bodies) for t in (lambda c: c, text.dotted_words)]
+    assert found[0] == found[1] and any(found[0])
+
+
 def test_clean_host(apply):
     values = ["2fapi.example.com", "2021.example.com", "*.A.example.com", "-.a.b", "--x--"]
     assert apply(text.clean_host, *values) == ["api.example.com", "21.example.com", "a.example.com", "a.b", "x"]
